@@ -5,17 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evigraph.llm import tokens
+from evigraph.llm import canonical, forest, tokens
 from evigraph.sources.tables import table
 
 
+def _p2(spark: SparkSession, sf_dir: str) -> tuple:
+    return table(spark, sf_dir, "nodes"), "node_id", F.col("content"), F.col("metadata.title")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.copies(*_p2(spark, sf_dir), "kept_node_id", "copy_node_id")
+
+
+def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.collapse(*_p2(spark, sf_dir)).select(F.col("kept").alias("node_id"), "copies")
+
+
+def p2_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.collisions(*_p2(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, centroids = table(spark, sf_dir, "doc_vectors"), table(spark, sf_dir, "centroids")
+    near = forest.neighbours(vectors).select(F.lit("documents").alias("collection"), "vec_id", "other_id")
+    cen = forest.centroid_neighbours(vectors, centroids).select(F.lit("centroids").alias("collection"), "vec_id", "other_id")
+    return near.unionByName(cen)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {
+        "p2_found": p2_found,
+        "p2_collapsed": p2_collapsed,
+        "p2_collisions": p2_collisions,
+        "p3_found": p3_found,
+        "p6_ids": p6_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
