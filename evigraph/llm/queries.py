@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import canonical, forest, tokens
+from evigraph.llm import canonical, forest, lookalike, overlap, splits, tokens
 from evigraph.sources.tables import table
 
 
@@ -34,6 +34,34 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.unionByName(cen)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.found(table(spark, sf_dir, "queries"))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign(table(spark, sf_dir, "queries"), table(spark, sf_dir, "split_targets")).select("query_id", "split")
+
+
+def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.balance(table(spark, sf_dir, "queries"), table(spark, sf_dir, "split_targets"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(table(spark, sf_dir, "queries"), table(spark, sf_dir, "views"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.counts(table(spark, sf_dir, "queries"), table(spark, sf_dir, "views"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.canonical(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -44,7 +72,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_collapsed": p2_collapsed,
         "p2_collisions": p2_collisions,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_splits": p4_splits,
+        "p4_balance": p4_balance,
+        "p5_found": p5_found,
+        "p5_counts": p5_counts,
         "p6_ids": p6_ids,
+        "p8_found": p8_found,
+        "p8_canonical": p8_canonical,
     }
 
 
