@@ -13,66 +13,71 @@ from pyspark.sql import functions as F
 
 from evigraph.sources.tables import once
 
-_SPACE = r"[\s\p{Z}\p{Cc}\p{Cf}]+"
-#: Marks that go: all punctuation and the ASCII marks that serve as separators. Currency and
-#: arithmetic signs stay, for they carry meaning.
-_MARK = r"[\p{P}|`~^]"
+_SPACE = r"\s\p{Z}\p{Cc}"
+#: Characters that part words: spaces, all punctuation and the ASCII marks that serve as
+#: separators. Currency and arithmetic signs stay, for they carry meaning.
+_PART = rf"[[^a-z0-9]&&[{_SPACE}\p{{P}}|`~^]]"  # the first test settles most characters
+#: A run of them, but for a single mark between two digits, which is part of the number.
+_RUN = rf"(?s){_PART}(?:(?<![0-9].){_PART}*+|{_PART}++|(?![0-9])|(?<=[{_SPACE}]))"
+_HIDDEN = "[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+"
+_FIELD = r"^\s*[^:\n.!?]{1,80}:\s*\S"
 
 
 def words(c: Column) -> Column:
     """Lower-case words parted by one space, without punctuation. A mark between two digits is
     part of the number and stays."""
-    c = F.lower(F.upper(c))  # upper first: sharp s and its capital spelling meet
-    c = F.regexp_replace(c, r"[\p{Cf}]+", "")
-    c = F.regexp_replace(c, rf"(?<![0-9]){_MARK}|{_MARK}(?![0-9])", " ")
-    return F.trim(F.regexp_replace(c, _SPACE, " "))
-
-
-def _is_field(x: Column) -> Column:
-    return x.rlike(r"^\s*[^:\n.!?]{1,80}:\s*\S")
-
-
-def fields(content: Column) -> Column:
-    """Array of the fields of a record-like content, null for any other.
-
-    A record is a JSON object, lines ``relation: value``, or ``relation: value`` items parted by
-    ``;`` or ``|`` after a name and a full stop."""
-    text = F.regexp_replace(content, r"^[\s\p{Z}]+|[\s\p{Z};]+$", "")
-    obj = F.from_json(text, "map<string,string>")
-    json_fields = F.transform(
-        F.map_entries(obj), lambda e: F.concat_ws(" ", e["key"], F.coalesce(e["value"], F.lit("null")))
-    )
-    blank = lambda x: F.length(F.regexp_replace(x, r"[\s\p{Z}\p{P}|]+", "")) > 0
-    lines = F.filter(F.split(text, r"[\r\n  ]+"), blank)
-    # "Name. relation: value; ..." - the name goes before the first full stop and has no colon
-    name = F.regexp_extract(text, r"^([^:;|]*?)\.[\s\p{Z}]+[^:.;|!?]{1,80}:", 1)
-    rest = F.when(F.length(name) > 0, F.substring(text, F.length(name) + F.lit(2), F.length(text))).otherwise(text)
-    items = F.filter(F.split(rest, r"[;|]"), blank)
-    return (
-        F.when(text.startswith("{") & obj.isNotNull() & (F.size(obj) > 0), json_fields)
-        .when((F.size(lines) > 1) & F.forall(lines, _is_field), lines)
+    c = F.lower(c)
+    # sharp s and its capital spelling meet; what doesn't show can't be in a text of ASCII alone
+    wide = F.regexp_replace(F.replace(c, F.lit("\u00df"), F.lit("ss")), _HIDDEN, "")
+    c = F.when(F.length(c) == F.octet_length(c), c).otherwise(wide)
+    return F.trim(F.regexp_replace(c, _RUN, " "))
+
+
+def with_form(df: DataFrame, content: Column, title: Column) -> DataFrame:
+    """Adds ``_form``, the canonical form of content and title.
+
+    The content's form is its words or, of a record, the sorted words of its fields. A record is a
+    JSON object, lines ``relation: value``, or ``relation: value`` items parted by ``;`` or ``|``
+    after a name and a full stop. Each step is a projection of its own, so that an expression that
+    several others use is computed once, and only where the ones before ask for it."""
+    text, n = F.col("_text"), F.length("_name")
+    shown = lambda x: x.rlike(rf"[^{_SPACE}\p{{P}}|]")
+    is_field = lambda x: x.rlike(_FIELD)
+    out = df.withColumn("_title", title).withColumn("_text", F.btrim(content, F.lit(" \t\r\n\u00a0\u2007\u202f;")))
+    marked = text.contains(":")
+    out = out.withColumns({
+        "_json": F.when(text.startswith("{"), F.map_entries(F.from_json(text, "map<string,string>"))),
+        "_lines": F.when(marked & text.rlike(r"[\r\n]"), F.filter(F.split(text, r"[\r\n\u2028\u2029]+"), shown)),
+        # the name goes before the first full stop and has no colon
+        "_name": F.when(marked & text.rlike("[;|]"), F.regexp_extract(text, rf"^([^:;|]*?)\.[{_SPACE}]+[^:.;|!?]{{1,80}}:", 1)),
+    })
+    rest = F.when(n > 0, F.substring(text, n + F.lit(2), F.length(text))).otherwise(text)
+    out = out.withColumn("_items", F.when(F.col("_name").isNotNull(), F.filter(F.split(rest, "[;|]"), shown)))
+    fields = (
+        F.when(
+            F.size("_json") > 0,
+            F.transform("_json", lambda e: F.concat_ws(" ", e["key"], F.coalesce(e["value"], F.lit("null")))),
+        )
+        .when((F.size("_lines") > 1) & F.forall("_lines", is_field), F.col("_lines"))
         .when(
-            F.forall(items, _is_field) & ((F.size(items) > 1) | (F.length(name) > 0)),
-            F.when(F.length(name) > 0, F.concat(F.array(name), items)).otherwise(items),
+            (F.size("_items") > 0) & F.forall("_items", is_field),
+            F.when(n > 0, F.concat(F.array("_name"), "_items")).otherwise(F.col("_items")),
         )
     )
-
-
-def canonical(content: Column) -> Column:
-    """Canonical form of a content: its words, or the sorted words of its fields."""
-    f = fields(content)
-    return F.when(
-        f.isNotNull(), F.concat_ws("\u0001", F.array_sort(F.transform(f, words)))
-    ).otherwise(words(content))
+    out = out.withColumn("_fields", fields)
+    body = F.when(F.col("_fields").isNull(), words(text)).otherwise(
+        F.concat_ws("\u0001", F.array_sort(F.transform("_fields", words)))
+    )
+    # a null title equals only a null title: it is written as a form that no title can take
+    form = F.concat(body, F.lit("\u0002"), F.coalesce(words(F.col("_title")), F.lit("\u0003")))
+    return out.withColumn("_form", form)
 
 
 def keyed(df: DataFrame, id_col: str, content: Column, title: Column) -> DataFrame:
-    """``id, h128, check64, size`` of each row whose content isn't null or blank.
-
-    A null title equals only a null title: it is hashed as a form that no title can take."""
-    visible = F.length(F.regexp_replace(content, _SPACE, "")) > 0
-    form = F.concat(canonical(content), F.lit("\u0002"), F.coalesce(words(title), F.lit("\u0003")))
-    forms = df.where(F.col(id_col).isNotNull() & content.isNotNull() & visible).select(F.col(id_col).alias("_id"), form.alias("_form"))
+    """``id, h128, check64, size`` of each row whose content isn't null or blank."""
+    # filtered before the steps: a filter on their result would be pushed below them and repeat them
+    src = df.where(F.col(id_col).isNotNull() & content.rlike(rf"[^{_SPACE}]")).withColumn("_id", F.col(id_col))
+    forms = with_form(src, content, title).select("_id", "_form")
     return forms.select(
         F.col("_id").alias(id_col),
         F.unhex(F.md5("_form")).alias("h128"),
