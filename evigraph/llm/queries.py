@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import canonical, forest, lookalike, overlap, splits, tokens
+from evigraph.llm import canonical, defects, forest, lookalike, overlap, packing, splits, tokens
 from evigraph.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.found(table(spark, sf_dir, "run_rows"))
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = defects.label(table(spark, sf_dir, "run_rows")).select("id", F.explode("labels").alias("l"))
+    return rows.select("id", F.col("l.defect").alias("defect"), F.round("l.posterior", 4).alias("posterior"))
+
+
 def _p2(spark: SparkSession, sf_dir: str) -> tuple:
     return table(spark, sf_dir, "nodes"), "node_id", F.col("content"), F.col("metadata.title")
 
@@ -54,6 +63,14 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.counts(table(spark, sf_dir, "queries"), table(spark, sf_dir, "views"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "context_budgets"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fullness(p7_packed(spark, sf_dir), table(spark, sf_dir, "context_budgets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +85,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_labels": p1_labels,
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
         "p2_collisions": p2_collisions,
@@ -78,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_counts": p5_counts,
         "p6_ids": p6_ids,
+        "p7_packed": p7_packed,
+        "p7_fill": p7_fill,
         "p8_found": p8_found,
         "p8_canonical": p8_canonical,
     }
