@@ -11,7 +11,14 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even if the driver put it on ``sys.path`` by hand."""
+    """Let Python workers import this package even if the driver put it on ``sys.path`` by hand.
+
+    A union that passes the partitioning of its inputs on is switched off: in Spark 4.1 adaptive
+    execution may coalesce the inputs' shuffles differently after an aggregation has been planned
+    on them, which then returns a group once per input.
+    """
+    if spark.version >= "4.1" and spark.conf.get("spark.sql.unionOutputPartitioning", None) != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if _ROOT not in have.split(":"):
