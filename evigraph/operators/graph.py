@@ -84,7 +84,7 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def pagerank(seeds: DataFrame, p: DataFrame, alpha: float, iterations: int, walk: bool = True, every: int = 3, digits: int = 9) -> DataFrame:
+def pagerank(seeds: DataFrame, p: DataFrame, alpha: float, iterations: int, walk: bool = True, every: int = 3, digits: int = 12) -> DataFrame:
     """``(query_id, node, mass)``: personalised PageRank by a fixed number of power steps from seeds
     ``(query_id, node, w)`` normalised per query.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import registry, retrieval, text  # noqa: F401  they register their queries
+from evigraph.plans import nodes, registry, retrieval, runs, text  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
