@@ -20,9 +20,9 @@ def runs(spark, sf, *columns: str) -> DataFrame:
 R = "r as (select distinct on (id) * from run_rows where id is not null)"
 NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
 ANS = f"""pa as (select id, {NORM.format('prediction')} as p, {NORM.format('a')} as a, a is null as none from (select id, prediction, unnest(case when len(answers) > 0 then answers else [null] end) as a from r)),
-    pt as (select *, list_filter(string_split(p, ' '), lambda x: x <> '') as pt, list_filter(string_split(a, ' '), lambda x: x <> '') as at from pa),
-    sm as (select *, coalesce(list_sum(list_transform(list_distinct(pt), lambda w: least(len(list_filter(pt, lambda y: y = w)), len(list_filter(at, lambda y: y = w))))), 0) as same from pt),
-    an as (select id, max(case when not none then (p = a and p <> '')::INT end) as em, round(max(case when not none then case when same > 0 then 2.0 * same / (len(pt) + len(at)) else 0 end end), 6)::DOUBLE as f1 from sm group by id)"""
+    pt as (select *, list_filter(string_split(p, ' '), lambda x: x <> '') as pt, list_filter(string_split(a, ' '), lambda x: x <> '') as ta from pa),
+    sm as (select *, coalesce(list_sum(list_transform(list_distinct(pt), lambda w: least(len(list_filter(pt, lambda y: y = w)), len(list_filter(ta, lambda y: y = w))))), 0) as same from pt),
+    an as (select id, max(case when not none then (p = a and p <> '')::INT end) as em, round(max(case when not none then case when same > 0 then 2.0 * same / (len(pt) + len(ta)) else 0 end end), 6)::DOUBLE as f1 from sm group by id)"""
 
 
 @query("answer_em_f1", f"with {R}, {ANS} select * from an")
