@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import nodes, registry, retrieval, runs, text, traversal  # noqa: F401  they register their queries
+from evigraph.plans import nodes, pipeline, registry, retrieval, runs, text, traversal  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["prf_rrf"](spark, sf_dir)
+    return registry.QUERIES["pipeline"](spark, sf_dir)
