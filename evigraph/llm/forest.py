@@ -342,7 +342,7 @@ def centroid_neighbours(
         found = src.select("id", "g", "v").mapInArrow(run, out_type)
     else:
         blocks = cen.withColumn("b", F.pmod(F.xxhash64("c"), F.lit(64)))
-        many = blocks.select("g", "b").distinct()
+        many = blocks.select("g", F.col("b").alias("part")).distinct()
 
         def run_block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
@@ -352,8 +352,8 @@ def centroid_neighbours(
             return pa.Table.from_batches([own])
 
         salted = src.join(many, "g").withColumn("s", F.pmod(F.xxhash64("id"), F.lit(256)))
-        right = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(255))).cast("long"))
-        found = salted.groupBy("g", "b", "s").cogroup(right.groupBy("g", "b", "s")).applyInArrow(run_block, out_type)
+        right = blocks.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))))
+        found = salted.groupBy("g", "part", "s").cogroup(right.groupBy("g", "b", "s")).applyInArrow(run_block, out_type)
     top = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
     return top.select(F.col("id").alias(id_col), F.explode("best").alias("p")).select(id_col, F.col("p.o").alias("other_id"), (-F.col("p.c")).alias("millionths"))
 
