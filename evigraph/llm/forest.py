@@ -204,20 +204,31 @@ def neighbours(
     spark = attach(df.sparkSession)
     src = source(df, id_col, group_col, vec_col, dim)
 
-    # Copies of vectors, by hash: 20 bytes a row, combined map-side.
+    # Copies of vectors, by hash: 20 bytes a row, combined map-side. Trees are sized by the vectors
+    # that are searched and fitted on a sample of those: copies would draw the planes through them.
     hashed = src.withColumn("h", F.xxhash64("v"))
     copies = hashed.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"))
-    totals = copies.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("most")).limit(4097).collect()
+    once = F.when(F.col("n") > HOT, 1).otherwise(F.col("n"))
+    totals = copies.groupBy("g").agg(F.sum(once).alias("n"), F.max("n").alias("most")).limit(4097).collect()
     sizes, any_hot = {r["g"]: r["n"] for r in totals}, any(r["most"] > HOT for r in totals)
     if len(sizes) > 4096:
         raise ValueError("more than 4096 datasets: the trees fitted for them would not fit a broadcast")
+    if any_hot:
+        hot = copies.where(F.col("n") > HOT).select("g", "h")
+        members = hashed.join(hot, ["g", "h"], "left_semi").select("g", "h", "id").distinct()  # ids only
+        few = members.groupBy("g", "h").agg(F.min("id").alias("rep"))
+
+    def representatives(rows: DataFrame) -> DataFrame:
+        return rows.join(few, ["g", "h"], "left").where("rep is null or id = rep") if any_hot else rows
+
     depths = _depths(sizes)
     trees: dict[str, list] = {}
     deep = [d for d, n in depths.items() if n]
     if deep:
         share = sample // len(deep)
         rate = F.create_map(*[x for d in deep for x in (F.lit(d), F.lit(min(1.0, share / sizes[d])))])
-        got = src.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_003)) < rate[F.col("g")] * 1_000_003).select("g", "id", "v").toArrow()
+        drawn = hashed.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_003)) < rate[F.col("g")] * 1_000_003)
+        got = representatives(drawn).select("g", "id", "v").toArrow()
         names = np.array(got.column("g").to_pylist(), object)
         all_x, all_i = unit(matrix(got.column("v"), dim)), got.column("id").to_numpy()
         for d in sorted(deep):
@@ -231,13 +242,7 @@ def neighbours(
             trees[d] = [fit_tree(x, pairs, fit, np.random.default_rng([t, len(x)])) for t in range(TREES)]
     held = spark.sparkContext.broadcast((depths, trees))
 
-    searched = src
-    if any_hot:
-        hot = copies.where(F.col("n") > HOT).select("g", "h")
-        members = hashed.join(hot, ["g", "h"], "left_semi").select("g", "h", "id").distinct()  # ids only
-        few = members.groupBy("g", "h").agg(F.min("id").alias("rep"))
-        marked = hashed.join(few, ["g", "h"], "left")
-        searched = marked.where("rep is null or id = rep").select("id", "g", "v")
+    searched = representatives(hashed).select("id", "g", "v")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         depths, trees = held.value

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evigraph.llm import forest as G
@@ -76,6 +77,24 @@ def test_a_vector_that_a_third_of_the_rows_share(spark):
     assert recall(got, want) == 1.0 and got.keys() == want.keys()
 
 
+def test_neighbours_of_a_hot_vector_in_a_table_of_many_cells(spark, monkeypatch):
+    """A third of the rows share one vector, 200 others lie around it: planes must not be drawn
+    through the copies."""
+    for name, v in (("CELL", 500), ("BUCKET", 200), ("COMPANY", 30)):
+        monkeypatch.setattr(G, name, v)
+    x = clusters(12_000, 20)
+    rng = np.random.default_rng(3)
+    near = np.arange(1, 600, 3)
+    x[near] = x[0] + 0.3 * rng.standard_normal((len(near), 64)).astype(np.float32)
+    x[::3] = x[0]
+    ids = np.arange(len(x))
+    got = G.neighbours(spark.createDataFrame(pa.table({"vec_id": ids, "dataset": ["a"] * len(x), "vec": list(x)})))
+    got = lists(got)
+    hot = set(range(0, len(x), 3))
+    met = [len(hot & set(got.get(int(i), {}))) / 5 for i in near]
+    assert np.mean(met) >= 0.95 and got.keys() == set(ids.tolist())
+
+
 def test_centroids_both_ways(spark, monkeypatch):
     x = clusters(50, 5)
     c = clusters(30, 3, seed=4)
