@@ -2,9 +2,9 @@
 
 Canonical texts and gold sets are hashed on the JVM. Queries that agree in both hashes are folded
 into classes first, so that copies cost one row; classes of the training views are then joined
-with classes of the evaluation views on the gold set. A gold set with so many classes that joining
-it whole would be quadratic is joined on the rarer words of its texts instead, by a prefix filter
-that misses no pair whose words overlap enough. Candidates are scored on their canonical texts.
+with classes of the evaluation views on the gold set. A gold set with many classes is compared in
+blocks of bounded size, by bounds that follow from the score itself, so that it gives the same pairs
+as a small one. Candidates are scored on their canonical texts.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,8 @@ from evigraph.llm.canonical import words
 from evigraph.session import attach, cut
 
 SIMILAR = 0.75  # ratio of matching characters from which two canonical questions are nearly the same
-WORD_OVERLAP = 0.34  # Jaccard of words that any such pair of a crowded gold set has
-CROWDED = 10_000  # pairs of classes on one gold set beyond which it is joined by words
+CROWDED = 10_000  # pairs of classes on one gold set beyond which it is compared in blocks
+BLOCK = 512  # classes of a side in a block
 EXPAND = 4_096  # pairs of copies of two classes that are written out; larger products as a star
 
 #: Wrappings that ask for nothing else.
@@ -58,13 +59,17 @@ def unwrapped(text: str) -> str:
     return padded.strip() or text
 
 
+def numbers(text: str) -> list[str]:
+    return sorted(w for w in text.split() if w.isdigit())
+
+
 def similarity(a: str, b: str) -> float:
     """Share of matching characters, in the order of the texts or, where words were swapped, in
     the order of their words; 0 if the numbers differ."""
     a, b = sorted((unwrapped(a), unwrapped(b)))
     if a == b:
         return 1.0
-    if sorted(w for w in a.split() if w.isdigit()) != sorted(w for w in b.split() if w.isdigit()):
+    if numbers(a) != numbers(b):
         return 0.0
     m = difflib.SequenceMatcher(None, a, b, autojunk=False)
     if m.real_quick_ratio() < SIMILAR or m.quick_ratio() < SIMILAR:
@@ -77,6 +82,82 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def _numbers(form: pd.Series) -> pd.Series:
+    return form.map(lambda t: " ".join(numbers(unwrapped(t))))
+
+
+def common_subsequence(places: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of ``b`` and a text of ``n`` characters, of whose
+    characters ``places`` has the positions as bits."""
+    full = (1 << n) - 1
+    v = full
+    for c in b:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def near_pairs(left: list[str], right: list[str]) -> list[tuple[int, int, float]]:
+    """``(i, j, similarity)`` of all pairs of two lists with a similarity of SIMILAR at least.
+
+    Matching characters are a common subsequence, so neither the shorter text nor the common
+    characters nor the longest common subsequence is smaller: what these bounds drop has a ratio
+    under SIMILAR."""
+    x, y = [unwrapped(t) for t in left], [unwrapped(t) for t in right]
+    known = {c: k for k, c in enumerate(sorted(set("".join(y))))}
+    bags = np.zeros((len(y), len(known)), np.int32)
+    for j, t in enumerate(y):
+        for c in t:
+            bags[j, known[c]] += 1
+    sizes = np.array([len(t) for t in y], np.int64)
+    out = []
+    for i, t in enumerate(x):
+        own = np.zeros(len(known), np.int32)
+        places: dict[str, int] = {}
+        for k, c in enumerate(t):
+            places[c] = places.get(c, 0) | 1 << k
+            if c in known:
+                own[known[c]] += 1
+        least = SIMILAR * (len(t) + sizes)
+        js = np.flatnonzero(2 * np.minimum(len(t), sizes) >= least)
+        js = js[2 * np.minimum(bags[js], own).sum(axis=1) >= least[js]]
+        for j in js.tolist():
+            if 2 * common_subsequence(places, len(t), y[j]) >= least[j]:
+                s = similarity(left[i], right[j])
+                if s >= SIMILAR:
+                    out.append((i, j, s))
+    return out
+
+
+def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    got = near_pairs(left.column("form").to_pylist(), right.column("form").to_pylist())
+    i, j, s = (list(c) for c in zip(*got)) if got else ([], [], [])
+    return pa.table({
+        "a": left.column("cls").take(pa.array(i, pa.int64())), "b": right.column("cls").take(pa.array(j, pa.int64())),
+        "similarity": pa.array(s, pa.float64()),
+    })
+
+
+def _blocks(dense: DataFrame) -> DataFrame:
+    """``(a, b, similarity)`` of the near classes of crowded gold sets. Texts whose numbers differ
+    have similarity 0, so the numbers belong to the key; a side of many classes is dealt into blocks
+    of about BLOCK, each of which meets each block of the other side in a task's group."""
+    key = ["gold", "numbers"]
+    d = dense.withColumn("numbers", _numbers("form"))
+    n = d.groupBy(*key).agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).where("t > 0 and e > 0")
+    n = n.select(*key, *[F.ceil(F.col(c) / BLOCK).cast("long").alias(c) for c in "te"])
+    d = d.join(n, key)
+
+    def side(rows: DataFrame, own: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        # aliases, for the two sides come from one table
+        kept = [F.col(c).alias(c) for c in (*key, "form", "cls")]
+        return rows.select(*kept, F.pmod(F.col("cls"), F.col(own)).alias(f"b{own}"), every.alias(f"b{other}")).groupBy(*key, "bt", "be")
+
+    return side(d.where("train"), "t", "e").cogroup(side(d.where("not train"), "e", "t")).applyInArrow(_compare, "a long, b long, similarity double")
+
+
 def twins(queries: DataFrame, views: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: each query of a view with a split and its class, and the links
     between classes of training and of evaluation views with their similarity.
@@ -102,17 +183,11 @@ def twins(queries: DataFrame, views: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(mixed.select("gold", "train", "form", "cls", (F.col("t") * F.col("e") > CROWDED).alias("crowded")))
     plain = rows.where("not crowded")
     pairs = _sides(plain, ["gold"])
-    dense = rows.where("crowded").withColumn("w", F.explode(F.array_distinct(F.split("form", " "))))
-    freq = dense.groupBy("gold", "w").agg(F.count(F.lit(1)).alias("df"))
-    by = W.partitionBy("gold", "train", "cls")
-    ranked = dense.join(freq, ["gold", "w"]).withColumn("rn", F.row_number().over(by.orderBy("df", "w"))).withColumn("len", F.count(F.lit(1)).over(by))
-    prefix = ranked.where(F.col("rn") <= F.col("len") - F.ceil(F.col("len") * WORD_OVERLAP) + 1)
-    crowded = _sides(prefix.select("gold", "train", "form", "cls", "w"), ["gold", "w"]).dropDuplicates(["a", "b"])
     same = F.col("fa") == F.col("fb")
-    scored = pairs.unionByName(crowded)
-    exact = scored.where(same).select("a", "b", F.lit(1.0).alias("similarity"))
-    near = scored.where(~same).withColumn("similarity", _similarity("fa", "fb")).where(F.col("similarity") >= SIMILAR)
-    return members.select("query_id", "source", "split", "train", "cls"), cut(exact.unionByName(near.select("a", "b", "similarity")))
+    exact = pairs.where(same).select("a", "b", F.lit(1.0).alias("similarity"))
+    near = pairs.where(~same).withColumn("similarity", _similarity("fa", "fb")).where(F.col("similarity") >= SIMILAR)
+    crowded = _blocks(rows.where("crowded").drop("crowded"))
+    return members.select("query_id", "source", "split", "train", "cls"), cut(exact.unionByName(near.select("a", "b", "similarity")).unionByName(crowded))
 
 
 def _sides(rows: DataFrame, on: list[str]) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from evigraph.llm import overlap as O
@@ -27,6 +29,27 @@ def test_crowded_gold_sets_give_the_same(tables, monkeypatch):
     assert {tuple(r) for r in O.found(*tables).collect()} == WANT
 
 
+def test_size_of_a_gold_set_changes_no_pair(spark, monkeypatch):
+    """Slips in most words and long wrappings leave few words in common, yet count."""
+    rng = random.Random(5)
+    stems = ["which copper orchard was carried from gofel to zocel", "who sold it", "where did the lantern keeper of bramwick live before the flood", "who sold the ledger of 1967 to wotrin"]
+    rows = []
+    for i in range(160):
+        t = rng.choice(stems)
+        words = [w[:1] + w[2:3] + w[1:2] + w[3:] if len(w) > 3 and not w.isdigit() and rng.random() < 0.6 else w for w in t.split()]
+        t = " ".join(words)
+        t = rng.choice(["{}", "please answer in one line from the passages exactly {} if known", "tell me, so {}?", "{} áö", "{} 7"]).format(t)
+        rows.append((f"r{i:03d}", 1 if i % 2 else 2, t, [1]))
+    q = spark.createDataFrame(rows, "query_id string, view_id int, text string, golds array<long>")
+    v = spark.createDataFrame(VIEWS, "view_id int, name string, split string")
+    few = {tuple(r) for r in O.found(q, v).collect()}
+    counts = sorted(map(tuple, O.counts(q, v).collect()))
+    monkeypatch.setattr(O, "CROWDED", 0)
+    monkeypatch.setattr(O, "BLOCK", 16, raising=False)
+    assert few and {tuple(r) for r in O.found(q, v).collect()} == few
+    assert sorted(map(tuple, O.counts(q, v).collect())) == counts
+
+
 def test_counts(tables):
     got = {(r.split, r.source): (r.queries, r.exact, r.near) for r in O.counts(*tables).collect()}
     assert got[("val", "squad")] == (2, 1, 1) and got[("test", "nq")][1:] == (0, 0)
