@@ -84,6 +84,15 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def ball(seeds: DataFrame, edges: DataFrame, hops: int, cap: int) -> DataFrame:
+    """``(query_id, node, hop, mass)``: nodes within ``hops``, cut at the ``cap`` of the largest mass
+    after four PageRank steps; seeds always stay, outside the cap."""
+    mass = pagerank(seeds.withColumn("w", F.lit(1.0)), cut(transition(edges)), 0.5, 4)
+    b = reach(seeds, edges, hops).join(mass, ["query_id", "node"], "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    w = W.partitionBy("query_id").orderBy(F.desc("mass"), "node")
+    return b.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= cap) | (F.col("hop") == 0)).drop("_r")
+
+
 def pagerank(seeds: DataFrame, p: DataFrame, alpha: float, iterations: int, walk: bool = True, every: int = 3, digits: int = 12) -> DataFrame:
     """``(query_id, node, mass)``: personalised PageRank by a fixed number of power steps from seeds
     ``(query_id, node, w)`` normalised per query.

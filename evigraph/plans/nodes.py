@@ -108,6 +108,12 @@ def reach_capped(spark, sf):
     return graph.reach(seeds(spark, sf), cut(graph.capped(edges(spark, sf), 3)), 2)
 
 
+@query("reach_capped_64")
+def reach_capped_64(spark, sf):
+    """The operator's own bound on hubs, 64 neighbours a node; reach_capped, held by SQL, has three."""
+    return graph.reach(seeds(spark, sf), cut(graph.capped(edges(spark, sf), 64)), 2)
+
+
 @query("reach_profile", f"with {BASE}, {_hops(3)} select hop, count(*)::BIGINT as nodes, count(distinct query_id)::BIGINT as queries from h3 group by hop")
 def reach_profile(spark, sf):
     r = graph.reach(seeds(spark, sf), cut(edges(spark, sf)), 3)
@@ -179,6 +185,12 @@ def ppr_ball(spark, sf):
     return b.withColumn("r", F.row_number().over(w)).where("r <= 50").select("query_id", "node", "hop", "mass")
 
 
+@query("ppr_ball_2500")
+def ppr_ball_2500(spark, sf):
+    """The operator's own size, 2,500 nodes by mass and the seeds; ppr_ball, held by SQL, has 50."""
+    return graph.ball(seeds(spark, sf), cut(edges(spark, sf)), 2, 2500)
+
+
 @query("traversal_lift", f"with {BASE}, {_hops(2)}, f as (select query_id, min(node) as node from se group by 1), a as (select se.query_id, count(*) as golds, count(*) filter (where se.node = f.node) as h0, count(*) filter (where se.node = f.node or exists (select 1 from ed where ed.src = f.node and ed.dst = se.node)) as h1 from se join f using (query_id) group by 1) select count(*)::BIGINT as queries, round(avg(h0 / golds), 6) as recall_seed, round(avg(h1 / golds), 6) as recall_onehop, round(avg(h1 / golds) - avg(h0 / golds), 6) as lift from a")
 def traversal_lift(spark, sf):
     """Recall of the golds from the first gold alone and with its neighbours."""

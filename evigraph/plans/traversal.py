@@ -14,6 +14,10 @@ from evigraph.plans.registry import query
 from evigraph.sources.tables import table
 
 
+ANCHORS = 12  # nodes of the highest relevance from which a bridge is sought
+PICKS = 200  # the largest budget of a coverage
+
+
 def _balls(spark, sf) -> DataFrame:
     """Two-hop neighbourhoods of the traversals' questions. Relevance is the share of question words
     that a node's title has, a stand-in for a dense score."""
@@ -46,7 +50,7 @@ def best_first(spark, sf):
 def bridge(spark, sf):
     def kernel(pdf):
         adj, rel, seeds = _parts(pdf)
-        anchors = sorted(pdf["node"], key=lambda n: (-rel[n], n))[:3]
+        anchors = sorted(pdf["node"], key=lambda n: (-rel[n], n))[:ANCHORS]
         got = kernels.bridge(list(pdf["node"]), rel, adj, seeds, anchors)
         return [(pdf["query_id"][0], n, round(s, 6)) for n, s in got.items()]
 
@@ -57,7 +61,7 @@ def bridge(spark, sf):
 def cover_graph(spark, sf):
     def kernel(pdf):
         adj, rel, _ = _parts(pdf)
-        return [(pdf["query_id"][0], i, n) for i, n in enumerate(kernels.spread_greedy(list(pdf["node"]), rel, adj, 20))]
+        return [(pdf["query_id"][0], i, n) for i, n in enumerate(kernels.spread_greedy(list(pdf["node"]), rel, adj, PICKS))]
 
     return kernels.per_query(_balls(spark, sf), kernel, "query_id string, place long, node string")
 
@@ -86,11 +90,11 @@ def think_act_observe(spark, sf):
 
 @query("cover_greedy")
 def cover_greedy(spark, sf):
-    """Coverage-greedy choice among the 100 best of each vector query."""
-    d = R.dense(spark, sf).join(R.items(spark, sf).select("doc_id", "vec"), "doc_id").select("query_id", F.col("doc_id").alias("node"), "score", unit(F.col("vec")).alias("vec"))
+    """Coverage-greedy choice among the 1,200 best of each vector query, six times the picks."""
+    d = R.dense(spark, sf, 6 * PICKS).join(R.items(spark, sf).select("doc_id", "vec"), "doc_id").select("query_id", F.col("doc_id").alias("node"), "score", unit(F.col("vec")).alias("vec"))
 
     def kernel(pdf):
-        got = kernels.cover_greedy(list(pdf["node"]), pdf["score"].to_numpy(), np.stack(pdf["vec"]), 20)
+        got = kernels.cover_greedy(list(pdf["node"]), pdf["score"].to_numpy(), np.stack(pdf["vec"]), PICKS)
         return [(pdf["query_id"][0], i, int(n)) for i, n in enumerate(got)]
 
     return kernels.per_query(d, kernel, "query_id long, place long, node long")
