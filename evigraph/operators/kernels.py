@@ -240,16 +240,16 @@ class Agent:
         return trace
 
 
-def neighbourhoods(seeds: DataFrame, edges: DataFrame, hops: int, cap: int = 64) -> DataFrame:
-    """``(query_id, node, hop, out ARRAY)``: each query's ball with capped neighbour lists inside it,
-    the bounded input of the kernels."""
-    from evigraph.operators.graph import capped, reach
+def neighbourhoods(seeds: DataFrame, edges: DataFrame, hops: int, cap: int = 2500) -> DataFrame:
+    """``(query_id, node, hop, out ARRAY)``: each query's ball, cut by PageRank mass, with all
+    neighbours inside it, the bounded input of the kernels."""
+    from evigraph.operators.graph import ball as bounded
     from evigraph.session import cut
 
-    e = cut(capped(edges, cap))
-    ball = cut(reach(seeds, e, hops))
+    e = cut(edges)
+    ball = cut(bounded(seeds, e, hops, cap).drop("mass"))
     inner = ball.select("query_id", F.col("node").alias("src")).join(e, "src").join(ball.select("query_id", F.col("node").alias("dst")), ["query_id", "dst"], "left_semi")
-    out = inner.groupBy("query_id", F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("out"))  # cap entries at most
+    out = inner.groupBy("query_id", F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("out"))  # at most the ball
     return ball.join(out, ["query_id", "node"], "left")
 
 

@@ -11,25 +11,31 @@ from evigraph.operators import fusion, graph, kernels, partition
 from evigraph.plans import nodes as N
 from evigraph.plans import retrieval as R
 from evigraph.plans.registry import query
+from evigraph.session import cut
 from evigraph.sources.tables import table
 
 
 ANCHORS = 12  # nodes of the highest relevance from which a bridge is sought
 PICKS = 200  # the largest budget of a coverage
+BUDGET = 200  # nodes that a best-first search expands
 
 
-def _balls(spark, sf) -> DataFrame:
-    """Two-hop neighbourhoods of the traversals' questions. Relevance is the share of question words
-    that a node's title has, a stand-in for a dense score."""
+def _relevance(spark, sf, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the share of question words that a node's title has, a stand-in for a dense
+    score, and the node's source."""
     from evigraph.functions.text import alnum
 
     n = N.nodes(spark, sf, "title", "content", "source")
-    ball = kernels.neighbourhoods(N.seeds(spark, sf), N.edges(spark, sf), 2)
     q = n.select(F.col("node_id").alias("query_id"), F.array_distinct(alnum(F.col("content"))).alias("qw"))
     d = n.select(F.col("node_id").alias("node"), F.array_distinct(alnum(F.col("title"))).alias("tw"), "source")
-    j = ball.join(q, "query_id").join(d, "node")
     rel = F.when(F.size("tw") > 0, F.size(F.array_intersect("qw", "tw")) / F.size("tw")).otherwise(0.0)
-    return j.select("query_id", "node", "hop", "out", "source", F.round(rel, 6).alias("rel"))
+    return pairs.join(q, "query_id").join(d, "node").withColumn("rel", F.round(rel, 6)).drop("qw", "tw")
+
+
+def _balls(spark, sf) -> DataFrame:
+    """Two-hop neighbourhoods of the traversals' questions with relevance."""
+    ball = kernels.neighbourhoods(N.seeds(spark, sf), N.edges(spark, sf), 2)
+    return _relevance(spark, sf, ball).select("query_id", "node", "hop", "out", "source", "rel")
 
 
 def _parts(pdf):
@@ -39,11 +45,36 @@ def _parts(pdf):
 
 @query("best_first")
 def best_first(spark, sf):
-    def kernel(pdf):
-        adj, rel, seeds = _parts(pdf)
-        return [(pdf["query_id"][0], i, x, d, p, s, w) for i, (x, d, p, s, w) in enumerate(kernels.best_first(adj, rel, seeds))]
+    """Over the whole graph, at any depth. Neighbours are fetched of the nodes that the search
+    expands on what is known so far, until it expands none whose neighbours aren't known: the order
+    is then that of the whole graph. A round fetches at most BUDGET nodes a query, and one at least
+    that the search does expand, so there are no more than BUDGET rounds."""
+    e = cut(N.edges(spark, sf))
 
-    return kernels.per_query(_balls(spark, sf), kernel, "query_id string, step long, node string, depth long, parent string, priority double, stop string")
+    def fetched(need: DataFrame) -> DataFrame:
+        step = need.join(e.withColumnRenamed("src", "node"), "node").select("query_id", F.col("node").alias("src"), F.col("dst").alias("node"))
+        near = _relevance(spark, sf, step).groupBy("query_id", F.col("src").alias("node")).agg(F.collect_list(F.struct(F.col("node").alias("n"), "rel")).alias("out"))
+        return need.join(near, ["query_id", "node"], "left")
+
+    def kernel(pdf):
+        adj, rel = {}, {}
+        for r in pdf.itertuples():
+            out = [] if r.out is None else r.out
+            adj[r.node] = [x["n"] for x in out]
+            rel.update((x["n"], x["rel"]) for x in out)
+        own = pdf.loc[pdf["seed"].notna()]
+        rel.update(zip(own["node"], own["seed"]))
+        got = kernels.best_first(adj, rel, sorted(own["node"]), BUDGET)
+        return [(pdf["query_id"][0], i, x, d, p, s, w, x in adj) for i, (x, d, p, s, w) in enumerate(got)]
+
+    start = _relevance(spark, sf, N.seeds(spark, sf)).select("query_id", "node", F.col("rel").alias("seed"))
+    known = cut(fetched(start))
+    while True:
+        trace = cut(kernels.per_query(known, kernel, "query_id string, step long, node string, depth long, parent string, priority double, stop string, known boolean"))
+        need = trace.where("not known").select("query_id", "node", F.lit(None).cast("double").alias("seed"))
+        if need.isEmpty():
+            return trace.drop("known")
+        known = cut(known.unionByName(fetched(need)))
 
 
 @query("bridge")
@@ -168,9 +199,9 @@ def appnp(spark, sf):
 
 @query("random_walks")
 def random_walks(spark, sf):
-    """Three seeded steps from every question's golds: the next node is the neighbour of the smallest
-    hash of (seed, step, query, node)."""
-    e = graph.capped(N.edges(spark, sf), 64)
+    """Three seeded steps from every question's golds: the next node is, of all neighbours, the one of
+    the smallest hash of (seed, step, query, node)."""
+    e = cut(N.edges(spark, sf))
     at = N.seeds(spark, sf).select("query_id", F.col("node").alias("start"), "node", F.lit(0).alias("step"))
     out = at
     for i in range(1, 4):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from evigraph.operators import graph
+from evigraph.operators import graph, kernels
 from evigraph.plans import nodes as N
 from evigraph.plans import traversal as T
 
@@ -22,9 +22,26 @@ def world(spark, monkeypatch):
     return spark
 
 
+def test_best_first_walks_on_at_any_depth_and_past_64_neighbours(world):
+    got = {r.node: r.depth for r in T.best_first(world, "").collect()}
+    assert len(got) == 200 and got[LEAVES[-1]] == 1 and [got[x] for x in TAIL] == [2, 3, 4, 5, 6, 7]
+
+
+def test_random_walks_choose_among_all_neighbours(world):
+    rows = T.random_walks(world, "").where("step = 1").collect()
+    pick = world.createDataFrame([(x,) for x in LEAVES], "x string").selectExpr("x", "xxhash64(13, 1, 'q100', x) as h").orderBy("h").first().x
+    assert pick > LEAVES[63] and [r.node for r in rows] == [pick]
+
+
 def test_balls_keep_2500_and_the_seeds(world):
     ball = {r.node: r.hop for r in T.N.ppr_ball_2500(world, "").collect()}
     assert ball["hub1"] == 0 and len(ball) == 2500
     small = graph.ball(N.seeds(world, ""), N.edges(world, ""), 2, 0).collect()
     assert [r.node for r in small] == ["hub1"]
+    out = {r.node: r.out for r in kernels.neighbourhoods(N.seeds(world, ""), N.edges(world, ""), 2).collect()}
+    assert len(out["hub1"]) >= 2498 and LEAVES[-1] in out["hub1"]
     assert sum(r.hop == 1 for r in N.reach_capped_64(world, "").collect()) == 64
+
+
+def test_coverage_picks_the_largest_budget(world):
+    assert T.cover_graph(world, "").count() == 200
