@@ -64,8 +64,8 @@ def numbers(text: str) -> list[str]:
 
 
 def similarity(a: str, b: str) -> float:
-    """Share of matching characters, in the order of the texts or, where words were swapped, in
-    the order of their words; 0 if the numbers differ."""
+    """Share of matching characters in the order of the texts, so that swapped words count as
+    differences; 0 if the numbers differ."""
     a, b = sorted((unwrapped(a), unwrapped(b)))
     if a == b:
         return 1.0
