@@ -24,8 +24,9 @@ def test_pairs(tables):
     assert {tuple(r) for r in O.found(*tables).collect()} == WANT
 
 
-def test_crowded_gold_sets_give_the_same(tables, monkeypatch):
-    monkeypatch.setattr(O, "CROWDED", 0)
+@pytest.mark.parametrize("block", [1, 2])
+def test_blocks_of_any_size_give_the_same(tables, monkeypatch, block):
+    monkeypatch.setattr(O, "BLOCK", block)
     assert {tuple(r) for r in O.found(*tables).collect()} == WANT
 
 
@@ -44,8 +45,8 @@ def test_size_of_a_gold_set_changes_no_pair(spark, monkeypatch):
     v = spark.createDataFrame(VIEWS, "view_id int, name string, split string")
     few = {tuple(r) for r in O.found(q, v).collect()}
     counts = sorted(map(tuple, O.counts(q, v).collect()))
-    monkeypatch.setattr(O, "CROWDED", 0)
-    monkeypatch.setattr(O, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(O, "BLOCK", 16)
+    monkeypatch.setattr(O, "FEW", 0)
     assert few and {tuple(r) for r in O.found(q, v).collect()} == few
     assert sorted(map(tuple, O.counts(q, v).collect())) == counts
 
@@ -58,9 +59,43 @@ def test_counts(tables):
 def test_many_copies_become_a_star_that_loses_no_text(spark, monkeypatch):
     monkeypatch.setattr(O, "EXPAND", 10)
     rows = [(f"t{i:02d}", 1, Q, [1]) for i in range(6)] + [(f"v{i:02d}", 2, Q, [1]) for i in range(6)]
-    got = {tuple(r) for r in O.found(spark.createDataFrame(rows, "query_id string, view_id int, text string, golds array<long>"), spark.createDataFrame(VIEWS, "view_id int, name string, split string")).collect()}
+    tables = spark.createDataFrame(rows, "query_id string, view_id int, text string, golds array<long>"), spark.createDataFrame(VIEWS, "view_id int, name string, split string")
+    assert O.found(*tables, whole=True).count() == 36
+    got = {tuple(r) for r in O.found(*tables).collect()}
     assert got == {("t00", f"v{i:02d}") for i in range(6)} | {(f"t{i:02d}", "v00") for i in range(6)}
 
 
+def test_all_twins_on_a_large_gold_set(spark):
+    """120 training and 120 evaluation questions on one gold set, twins with a slip in every word."""
+    rng = random.Random(9)
+    def word(n):
+        return "".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    rows, want = [], set()
+    for i in range(120):
+        ws = [word(4) for _ in range(7)]
+        rows += [(f"a{i:03d}", 1, " ".join(ws), [1]), (f"b{i:03d}", 2, " ".join(w[:3] + "x" + w[4:] for w in ws), [1])]
+        want.add((f"a{i:03d}", f"b{i:03d}"))
+    q = spark.createDataFrame(rows, "query_id string, view_id int, text string, golds array<long>")
+    v = spark.createDataFrame(VIEWS, "view_id int, name string, split string")
+    assert {tuple(r) for r in O.found(q, v).collect()} == want
+
+
+def test_bounds_lose_no_pair():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14))) for _ in range(40)]
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if O.ratio(x, y) >= O.SIMILAR}
+    assert {(i, j) for i, j, _ in O.near_pairs(texts, texts)} == want
+    assert {(i, j) for i, x in enumerate(texts) for _, j, _ in O.near_pairs([x], texts)} == want
+
+
+def test_classes_hold_all_that_pairs_do(tables):
+    members, links = O.classes(*tables)
+    of = {r.query_id: (r.class_id, r.links) for r in members.collect()}
+    assert of["t1"] == ("t1", 2) and of["v1"][0] == "t1" and of["v1"][1] == 2 and of["e1"][1] == 0
+    got = {(r.class_a, r.class_b, r.queries_a, r.queries_b) for r in links.collect()}
+    assert got == {("t1", "t1", 1, 1), ("t1", "v2", 1, 1), ("t2", "t1", 1, 1), ("t2", "v2", 1, 1)}
+    assert {tuple(r) for r in O.exact(*tables).collect()} == {("t1", "v1")}
+
+
 def test_empty(tables):
-    assert O.found(tables[0].limit(0), tables[1]).count() == 0 and O.counts(tables[0].limit(0), tables[1]).count() == 0
+    assert O.found(tables[0].limit(0), tables[1]).count() == 0 and O.counts(tables[0].limit(0), tables[1]).count() == 0 and O.classes(tables[0].limit(0), tables[1])[0].count() == 0
