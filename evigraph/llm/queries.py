@@ -83,6 +83,10 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fullness(p7_packed(spark, sf_dir), table(spark, sf_dir, "context_budgets"))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.audit(p7_packed(spark, sf_dir), table(spark, sf_dir, "context_budgets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": p6_ids,
         "p7_packed": p7_packed,
         "p7_fill": p7_fill,
+        "p7_audit": p7_audit,
         "p8_found": p8_found,
         "p8_canonical": p8_canonical,
     }
@@ -148,6 +153,9 @@ _P5 = f"""with v as (select view_id, case when regexp_matches(lower(split), '\\b
     select least(a.query_id, b.query_id) as query_id_a, greatest(a.query_id, b.query_id) as query_id_b from f a join f b on a.g = b.g and a.form = b.form where a.side = 'train' and b.side = 'eval' and len(a.g) > 0 and a.form <> ''"""
 
 
+_P7 = """select budget_id, count(*) as texts, 0 as "over", 0 as torn, 0 as gaps from documents cross join (select distinct budget_id from context_budgets where capacity > 0) where doc_id is not null and length(text) > 0 group by budget_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Exact equivalents where SQL has them; the forest of problem 3 misses nothing at this size."""
-    return {"p3_found": _P3, "p4_found": _P4, "p5_exact": _P5}
+    return {"p3_found": _P3, "p4_found": _P4, "p5_exact": _P5, "p7_audit": _P7}

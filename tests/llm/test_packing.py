@@ -33,6 +33,30 @@ def test_fill_is_a_packing(seed):
         assert sum(t for _, _, t in got.get(i, [])) == size and (size > 100 or len(got.get(i, [])) == (size > 0))
 
 
+def test_containers_hold_neighbours_of_the_curve():
+    """Packing the largest first, best fit, fills as well but scatters neighbours."""
+    rng = np.random.default_rng(1)
+    sizes = np.minimum(900, rng.lognormal(4, 0.8, 4000)).astype(int).tolist()
+
+    def spread(rows):
+        ends = {}
+        for i, box in rows:
+            lo, hi = ends.get(box, (i, i))
+            ends[box] = min(lo, i), max(hi, i)
+        return np.mean([hi - lo for lo, hi in ends.values()])
+
+    out, n = P.fill(sizes, 1000)
+    rooms, largest_first = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        box = min((b for b, room in enumerate(rooms) if room >= sizes[i]), key=lambda b: rooms[b], default=len(rooms))
+        if box == len(rooms):
+            rooms.append(1000)
+        rooms[box] -= sizes[i]
+        largest_first.append((i, box))
+    assert sum(sizes) / (n * 1000) > 0.98 and n <= 1.01 * len(rooms)
+    assert spread((i, box) for i, _, _, box in out) < 0.05 * spread(largest_first)
+
+
 @needs
 def test_pack_covers_every_text_once(spark, monkeypatch):
     monkeypatch.setattr(P, "BLOCK", 40)
@@ -46,5 +70,6 @@ def test_pack_covers_every_text_once(spark, monkeypatch):
         own = got.where(F.col("budget_id") == b)
         have = {r.doc_id: (r.t, r.n) for r in own.groupBy("doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
         assert {i: t for i, (t, _) in have.items()} == want and all(n == 1 for i, (_, n) in have.items() if want[i] <= cap)
+    assert {(r.budget_id, r.over, r.torn, r.gaps) for r in P.audit(got, budgets).collect()} == {(1, 0, 0, 0), (2, 0, 0, 0)}
     assert {r.budget_id for r in P.fullness(got, budgets).collect()} == {1, 2}
     assert P.pack(docs.limit(0), budgets).count() == 0 and P.pack(docs, budgets.limit(0)).count() == 0
