@@ -1,9 +1,10 @@
 """Problem 4: splits that keep related records together.
 
 Queries tied by a gold or by their seed form components. Components of one size and one label
-profile are interchangeable, so they are bundled; a min-cost flow over the bundles and the splits
-meets the quotas, overall and per label, with costs for deviations; its flows are rounded to whole
-components, and which components of a bundle go where is decided by the order of their hashes.
+profile are interchangeable, so they are bundled; a min-cost flow from the bundles to the splits
+meets the quotas, overall and per profile, with convex costs for deviations; its flows are rounded
+to whole components, and which components of a bundle go where is decided by the order of their
+hashes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 from evigraph.operators.components import components
 from evigraph.session import attach, cut
 
-BUNDLE_LIMIT = 2_000_000  # distinct sizes times labels: at most sqrt(2 n) times labels for n queries
+PARTS = 4  # a label's part of a group is rounded to so many parts in its profile
+BUNDLE_LIMIT = 200_000  # distinct sizes and profiles; sizes are at most sqrt(2 n) for n queries
+BATCH = 64  # bundles of one flow; from the large to the small, each batch makes up for the ones before
+SPLITS = 1_000  # rows of the table of shares; more are refused
 SHARD = 4_096  # components of a bundle that one task ranks
 
 
@@ -111,117 +115,181 @@ class Flow:
 
 
 def allocate(bundles: list[tuple[int, str, int]], shares: list[tuple[str, float]]) -> dict[tuple[int, str], list[int]]:
-    """How many components of each bundle ``(size, label, count)`` each split gets.
-
-    The flow's nodes are classes of bundles that cost the same everywhere: bundles whose
-    components fit into every quota, one class a label, and each larger bundle by itself, for
-    which a split that it would overfill costs what it would be over. Splits take their quota of
-    each label free of charge and more at a cost, up to their overall quota, and beyond that at a
-    higher one. The flow of a class is then spread over its bundles from large components to small,
-    each rounded to whole components, the error being carried to the next.
+    """How many components of each bundle ``(size, profile, count)`` each split gets.
+
+    Bundles are taken in batches from large components to small. In a batch's flow every bundle has
+    its own arcs to the splits: free of charge up to its whole components' share, then at convex
+    costs that weigh more the larger the components are. A split takes its quota of each profile
+    free of charge (up to one component more) and its overall quota, and what is beyond at a cost.
+    What a batch's whole components miss or exceed is carried into the next one's quotas.
     """
     total = sum(s * n for s, _, n in bundles)
     whole = sum(w for _, w in shares) or 1.0
-    quota = [total * w / whole for _, w in shares]
+    weight = [w / whole for _, w in shares]
+    k = len(shares)
     if not total:
         return {}
-    k, least = len(shares), min(q for q in quota if q > 0)
-    by: dict[tuple[str, int], list[tuple[int, str, int]]] = {}
-    for b in sorted(bundles, key=lambda b: (-b[0], b[1])):
-        by.setdefault((b[1], b[0] if b[0] > least else 0), []).append(b)
-    labels = sorted({b[1] for b in bundles})
-    of = {x: sum(s * n for s, y, n in bundles if y == x) for x in labels}
-    node = {x: i + 2 for i, x in enumerate(by)}
-    first = 2 + len(by)
-    at = {(x, j): first + i * k + j for i, x in enumerate(labels) for j in range(k)}
-    last = first + len(labels) * k
-    flow = Flow(last + k)
-    arcs = {}
-    for key, own in by.items():
-        flow.arc(0, node[key], sum(s * n for s, _, n in own), 0.0)
-        for j in range(k):
-            over = max(0.0, key[1] - quota[j]) / total
-            arcs[key, j] = flow.arc(node[key], at[key[0], j], float("inf") if quota[j] else 0.0, 10 * over)
-    for x in labels:
-        for j in range(k):
-            flow.arc(at[x, j], last + j, of[x] * quota[j] / total, 0.0)
-            flow.arc(at[x, j], last + j, float("inf"), 1.0)
-    for j in range(k):
-        flow.arc(last + j, 1, quota[j], 0.0)
-        flow.arc(last + j, 1, float("inf"), 4.0)
-    flow.run(0, 1)
+    order = sorted(bundles, key=lambda b: (-b[0], b[1]))
+    quota = [0.0] * k  # what is still due, overall and by profile
+    due: dict[str, list[float]] = {}
+    ahead = float(total)
     out: dict[tuple[int, str], list[int]] = {}
-    room = list(quota)
-    carry = {x: [0.0] * k for x in labels}
-    big = sorted(by, key=lambda c: (-c[1], c[0]))
-    for key in big:
-        own = by[key]
-        amount = sum(s * n for s, _, n in own)
-        share = [flow.room[arcs[key, j] ^ 1] / amount for j in range(k)]
-        for size, label, n in own:
-            want = [n * share[j] + carry[label][j] / size for j in range(k)]
-            got = [max(0, int(w + 1e-9)) for w in want]
-            while sum(got) > n:
-                j = max((j for j in range(k) if got[j]), key=lambda j: (got[j] - want[j], got[j]))
-                got[j] -= 1
+    for at in range(0, len(order), BATCH):
+        batch = order[at : at + BATCH]
+        amount = sum(s * n for s, _, n in batch)
+        ahead -= amount
+        of: dict[str, int] = {}
+        step: dict[str, int] = {}
+        for s, p, n in batch:
+            of[p] = of.get(p, 0) + s * n
+            step[p] = max(step.get(p, 0), s)
+        for j in range(k):
+            quota[j] += amount * weight[j]
+        for p, m in of.items():
+            own = due.setdefault(p, [0.0] * k)
+            for j in range(k):
+                own[j] += m * weight[j]
+        # what later batches are due may be used in advance, so a large component isn't over a quota
+        cap = [max(0.0, quota[j]) for j in range(k)]
+        spare = [ahead * weight[j] for j in range(k)]
+        flows = _batch(batch, weight, cap, spare, {p: [max(0.0, x) for x in due[p]] for p in of}, step)
+        for (size, profile, n), flow in zip(batch, flows):
+            want = [f / size for f in flow]
+            got = [min(n, int(w + 1e-6)) for w in want]
             for _ in range(n - sum(got)):
-                # the next component goes where most is still wanted, of the label and overall
-                j = max(range(k), key=lambda j: (quota[j] > 0, want[j] - got[j] + 0.25 * (room[j] - size * got[j]) / size, -j))
+                # the next whole component goes where most of the flow is left, then where most is due
+                j = max(range(k), key=lambda j: (weight[j] > 0, round(want[j] - got[j], 6), quota[j] - size * got[j], -j))
                 got[j] += 1
             for j in range(k):
-                carry[label][j] = (want[j] - got[j]) * size
-                room[j] -= size * got[j]
-            out[size, label] = got
+                quota[j] -= size * got[j]
+                due[profile][j] -= size * got[j]
+            out[size, profile] = got
     return out
 
 
+def _batch(
+    batch: list[tuple[int, str, int]], weight: list[float], cap: list[float], spare: list[float], due: dict[str, list[float]], step: dict[str, int],
+) -> list[list[float]]:
+    """The flow of each bundle of a batch to each split, in queries."""
+    k, profiles = len(weight), sorted(due)
+    node = {p: 2 + len(batch) + i * k for i, p in enumerate(profiles)}
+    last = 2 + len(batch) + len(profiles) * k
+    flow = Flow(last + k)
+    most = max(s for s, _, _ in batch)
+    free, arcs = [], []
+    for i, (s, p, n) in enumerate(batch):
+        top = flow.arc(0, 2 + i, float(s * n), 0.0)
+        own = []
+        for j in range(k):
+            if not weight[j]:
+                continue
+            base = int(n * weight[j] + 1e-9)
+            rise = 0.01 * s / most
+            own.append([
+                (j, flow.arc(2 + i, node[p] + j, float(base * s), 0.0)),
+                (j, flow.arc(2 + i, node[p] + j, float(s), rise * (1 - (n * weight[j] - base)))),
+                (j, flow.arc(2 + i, node[p] + j, float("inf"), 2 * rise)),
+            ])
+            free.append((top, own[-1][0][1], p, j))
+        arcs.append([a for three in own for a in three])
+    down: dict[tuple[str, int], int] = {}
+    for p in profiles:
+        for j in range(k):
+            down[p, j] = flow.arc(node[p] + j, last + j, due[p][j] + step[p], 0.0)
+            flow.arc(node[p] + j, last + j, float("inf"), 1.0)
+    end = []
+    for j in range(k):
+        end.append(flow.arc(last + j, 1, cap[j], 0.0))
+        flow.arc(last + j, 1, spare[j], 4.0)
+        flow.arc(last + j, 1, float("inf"), 16.0)
+    # what costs nothing is laid at once: a flow without cost is the cheapest of its amount
+    for top, arc, p, j in free:
+        path = (top, arc, down[p, j], end[j])
+        push = min(flow.room[a] for a in path)
+        for a in path:
+            flow.room[a] -= push
+            flow.room[a ^ 1] += push
+    flow.run(0, 1)
+    got = []
+    for own in arcs:
+        row = [0.0] * k
+        for j, a in own:
+            row[j] += flow.room[a ^ 1]
+        got.append(row)
+    return got
+
+
 def assign(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """``(query_id, first_query_id, split)`` with the shares of ``targets (split, share)``.
 
-    The label of a group is the dataset most of its queries come from (ties: the smaller name).
-    Only bundles, at most the distinct sizes times labels, come to the driver, never groups. Ranks
-    inside a bundle are exact: components are cut into shards by hash, shards are counted, and each
-    is ranked by itself. A group larger than every quota goes where it is least over.
+    The profile of a group is the part of each dataset among its queries, in PARTS parts. Only
+    bundles come to the driver, at most sizes times profiles, never groups; the plan made of them is
+    broadcast. Ranks inside a bundle are exact: components are cut into shards by hash, shards are
+    counted, and each is ranked by itself. A group larger than every quota goes where it is least
+    over.
     """
     member = cut(groups(queries))
     spark = queries.sparkSession
-    shares = sorted((r["split"], float(r["share"])) for r in targets.where("split is not null and share > 0").limit(1000).collect())
+    wanted = targets.where("split is not null and share > 0").select("split", F.col("share").cast("double")).limit(SPLITS + 1).collect()
+    shares = sorted((r["split"], r["share"]) for r in wanted)
     if not shares:
         raise ValueError("no split has a share")
+    if len(shares) > SPLITS:
+        raise ValueError(f"more than {SPLITS} splits")
     per = member.groupBy("first_query_id", label_of(F.col("query_id")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    comp = per.groupBy("first_query_id").agg(
-        F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label")
-    )
-    comp = cut(comp.withColumn("h", F.xxhash64("first_query_id")))
-    sizes = comp.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n"))
-    got = sizes.limit(BUNDLE_LIMIT + 1).collect()
+    # a group's labels are few: one row a dataset
+    comp = per.groupBy("first_query_id").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("label", "n"))).alias("ls"))
+    part = lambda x: F.concat_ws("=", x["label"], F.round(PARTS * x["n"] / F.col("size")).cast("int"))
+    comp = cut(comp.select(
+        "first_query_id", "size", F.concat_ws(",", F.transform("ls", part)).alias("profile"), F.xxhash64("first_query_id").alias("h"),
+    ))
+    got = comp.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n")).limit(BUNDLE_LIMIT + 1).collect()
     if len(got) > BUNDLE_LIMIT:
-        raise ValueError("more bundles than sizes and labels can make")
-    plan = allocate([(r["size"], r["label"], r["n"]) for r in got], shares)
+        raise ValueError("more bundles than a flow can take: lower PARTS")
+    plan = allocate([(r["size"], r["profile"], r["n"]) for r in got], shares)
     rows = []
-    for (size, label), counts in plan.items():
-        upto = 0
-        n = sum(counts)
-        for (name, _), c in zip(shares, counts):
-            if c:
-                rows.append((size, label, max(1, -(-n // SHARD)), upto, upto + c, name))
+    for b, ((size, profile), counts) in enumerate(plan.items()):
+        ends, upto = [], 0
+        for c in counts:
             upto += c
-    table = spark.createDataFrame(rows, "size long, label string, shards long, lo long, hi long, split string")
-    shards = table.select("size", "label", "shards").distinct()
-    c = comp.join(shards, ["size", "label"]).withColumn("shard", F.pmod("h", F.col("shards")))
-    held = c.groupBy("size", "label", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = held.withColumn("before", F.sum("n").over(W.partitionBy("size", "label").orderBy("shard")) - F.col("n")).drop("n")
-    ranked = c.withColumn(
-        "rn", F.row_number().over(W.partitionBy("size", "label", "shard").orderBy("h", "first_query_id")) - 1
-    ).join(before, ["size", "label", "shard"])
-    ranked = ranked.withColumn("rank", F.col("rn") + F.col("before")).select("first_query_id", "size", "label", "rank")
-    placed = ranked.join(table.drop("shards"), ["size", "label"]).where("rank >= lo and rank < hi").select("first_query_id", "split")
+            ends.append(upto)
+        rows.append((size, profile, b, max(1, -(-upto // SHARD)), ends))
+    # at most BUNDLE_LIMIT rows
+    table = F.broadcast(spark.createDataFrame(rows, "size long, profile string, b int, shards long, ends array<long>"))
+    c = comp.join(table, ["size", "profile"]).select("first_query_id", "h", "b", "ends", F.pmod("h", "shards").alias("shard"))
+    held = c.groupBy("b", "shard").agg(F.count(F.lit(1)).alias("n"))
+    before = held.withColumn("before", F.sum("n").over(W.partitionBy("b").orderBy("shard")) - F.col("n")).drop("n")
+    ranked = c.withColumn("rn", F.row_number().over(W.partitionBy("b", "shard").orderBy("h", "first_query_id")) - 1).join(before, ["b", "shard"])
+    names = F.array(*[F.lit(name) for name, _ in shares])
+    rank = F.col("rn") + F.col("before")
+    placed = ranked.select("first_query_id", names[F.size(F.filter("ends", lambda x: x <= rank))].alias("split"))
     return member.join(placed, "first_query_id").select("query_id", "first_query_id", "split")
 
 
-def found(queries: DataFrame) -> DataFrame:
-    """``(first_query_id, query_id)``: the smallest id of each group with every other one."""
-    return groups(queries).where("query_id <> first_query_id").select("first_query_id", "query_id")
+def found(queries: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """``(first_query_id, query_id)``: the smallest id of each group with every other one, as they
+    were assigned to the splits; without ``targets`` of the groups alone."""
+    done = groups(queries) if targets is None else assign(queries, targets)
+    return done.where("query_id <> first_query_id").select("first_query_id", "query_id")
+
+
+def audit(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(queries, torn_golds, torn_seeds, off)``: queries assigned, golds and seeds whose queries
+    are in more than one split, and splits whose share is off by more than a hundredth plus the
+    largest group; the last three are 0 if the assignment is right."""
+    done = cut(assign(queries, targets).select("query_id", "first_query_id", "split"))
+    golds = queries.where("query_id is not null").select("query_id", F.explode("golds").alias("g")).where("g <> -1")
+    torn = golds.join(done, "query_id").groupBy("g").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("torn_golds"))
+    seeds = done.groupBy(seed_of(F.col("query_id"))).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("torn_seeds"))
+    n = done.agg(F.count(F.lit(1)).alias("queries"))
+    most = done.groupBy("first_query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    per = done.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    want = targets.where("split is not null and share > 0").select("split", (F.col("share") / F.sum("share").over(W.partitionBy())).alias("w"))
+    off = want.join(per, "split", "left").crossJoin(n).crossJoin(most).agg(
+        F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("w") * F.col("queries")) > 0.01 * F.col("queries") + F.col("most")).alias("off")
+    )
+    # single rows
+    return n.crossJoin(torn).crossJoin(seeds).crossJoin(off)
 
 
 def balance(queries: DataFrame, targets: DataFrame) -> DataFrame:

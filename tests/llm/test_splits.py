@@ -46,6 +46,9 @@ def test_groups_and_quotas(spark):
     done = {r.query_id: r.split for r in S.assign(df, spark.createDataFrame(TARGETS, "split string, share double")).collect()}
     assert done.keys() == {q for q, _ in rows} and all(len({done[q] for q in g}) == 1 for g in groups)
     largest = max(map(len, groups)) / len(done)
+    targets = spark.createDataFrame(TARGETS, "split string, share double")
+    assert S.found(df, targets).count() == S.found(df).count()
+    assert tuple(S.audit(df, targets).first()) == (len(done), 0, 0, 0)
     for name, share in TARGETS:
         assert abs(sum(v == name for v in done.values()) / len(done) - share) <= 0.02 + max(0, largest - share)
 
@@ -74,6 +77,34 @@ def test_a_group_larger_than_most_quotas_goes_to_the_one_it_fits():
     assert plan[600, "a"] == [1, 0, 0] and plan[1, "a"] == [100, 200, 100]
 
 
+def test_the_flow_beats_rounding_each_bundle():
+    """Single components of many sizes: rounding each bundle's own shares to whole components puts
+    all of them into the largest split."""
+    rng = random.Random(2)
+    bundles = [(s, rng.choice("ab"), 1) for s in rng.sample(range(20, 400), 60)]
+    total = sum(s for s, _, _ in bundles)
+    plan = S.allocate(bundles, TARGETS)
+    got = [sum(s * plan[s, p][j] for s, p, _ in bundles) / total for j in range(3)]
+    rounded = [1.0, 0.0, 0.0]  # the largest remainder of 0.7, 0.2 and 0.1 is the first's, each time
+    assert max(abs(g - w) for g, (_, w) in zip(got, TARGETS)) < 0.01
+    assert max(abs(g - w) for g, (_, w) in zip(rounded, TARGETS)) > 0.2
+
+
+def test_profiles_are_kept_in_proportion():
+    bundles = [(s, p, n) for p, n in (("a=4", 40), ("b=4", 40), ("a=2,b=2", 20)) for s in (1, 2, 3, 7)]
+    plan = S.allocate(bundles, TARGETS)
+    for p in ("a=4", "b=4", "a=2,b=2"):
+        own = sum(s * n for s, x, n in bundles if x == p)
+        for j, (_, w) in enumerate(TARGETS):
+            assert abs(sum(s * plan[s, x][j] for s, x, _ in bundles if x == p) / own - w) < 0.05
+
+
+def test_more_splits_than_allowed_are_refused(spark):
+    df = spark.createDataFrame([("a_q_1", None)], "query_id string, golds array<long>")
+    with pytest.raises(ValueError):
+        S.assign(df, spark.createDataFrame([(f"s{i}", 1.0) for i in range(S.SPLITS + 1)], "split string, share double"))
+
+
 def test_flow_finds_the_cheapest_way():
     f = S.Flow(4)
     f.arc(0, 1, 5, 1.0), f.arc(0, 2, 5, 0.0)
