@@ -35,8 +35,8 @@ def recall(got, want):
 
 
 def test_recall_with_cells_and_buckets(spark, monkeypatch):
-    """Small limits, so that the fitted tree, cells, prefixes and ascents are all at work."""
-    for name, v in (("CELL", 500), ("BUCKET", 200), ("COMPANY", 30)):
+    """Small limits, so that the fitted trees, cells, descents and ascents are all at work."""
+    for name, v in (("CELL", 500), ("LEAST", 60), ("ASK", 1500), ("WIDE", 300)):
         monkeypatch.setattr(G, name, v)
     x, ids = clusters(4000, 20), np.arange(4000) * 3
     got = lists(G.neighbours(frame(spark, ids, x)))
@@ -44,13 +44,53 @@ def test_recall_with_cells_and_buckets(spark, monkeypatch):
     assert recall(got, want) >= 0.9 and all(len(v) == 5 for v in got.values())
 
 
-def test_prefix_ranges_cover_each_vector_once():
-    codes = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 9000).astype(np.uint64))
-    seen = np.zeros(len(codes), int)
-    for a, b, lo, hi in G.ranges(codes, 20):
-        assert lo <= a < b <= hi and (hi - lo >= G.COMPANY or hi - lo == len(codes))
-        seen[a:b] += 1
-    assert (seen == 1).all()
+def test_company_counts_rows_that_share_a_prefix():
+    c = np.random.default_rng(1).integers(0, 1 << 10, 300)
+    got = G.company(c, 10, 10)
+    for level in range(11):
+        p = c >> (10 - level)
+        assert (got[:, level] == (p[:, None] == p[None, :]).sum(axis=1)).all()
+
+
+def test_the_ascent_is_synchronous_over_the_trees():
+    """One tree parts a vector early and gives few; at the level where all trees together hold
+    enough, the ascent stops in all of them."""
+    one, two = np.array([1000, 400, 3, 1, 1]), np.array([1000, 900, 700, 60, 1])
+    packed = [(0, G.packed_counts(one)), (0, G.packed_counts(two))]
+    assert [G.ascend(packed, ask) for ask in (1, 50, 600, 1200, 1900, 9999)] == [4, 3, 2, 1, 0, 0]
+    # a tree whose cell's prefix is longer has no more beyond it
+    assert G.ascend([(0, G.packed_counts(one)), (2, G.packed_counts(np.array([700, 60, 1])))], 1000) == 1
+
+
+def test_compare_takes_all_that_share_the_prefix():
+    rng = np.random.default_rng(2)
+    x, c, level = rng.standard_normal((200, 8)).astype(np.float32), [rng.integers(0, 1 << 6, 200) for _ in range(3)], rng.integers(0, 5, 200)
+    got = G.compare(x, x, c, c, level, 6, 200)
+    near = np.zeros((200, 200), bool)
+    for codes in c:
+        near |= (codes[:, None] >> (6 - level)[:, None]) == (codes[None, :] >> (6 - level)[:, None])
+    assert set(got.tolist()) == set(np.flatnonzero(near.ravel()).tolist())
+
+
+def test_cells_are_cut_by_their_count():
+    assert G.cell_depths(np.array([G.CELL])).tolist() == [0] and G.cell_depths(np.array([4 * G.CELL])).tolist() == [2]
+    n = np.array([G.CELL, G.CELL // 4, 100, 5 * G.CELL])
+    assert G.cell_depths(n).tolist() == [2, 2, 2, 5]  # leaf 3 goes on with three bits of its string
+    assert G.cell_depths(np.array([2 * G.CELL, 10])).tolist() == [0, 0]  # its small part would be too lonely
+    leaf = np.array([0, 3, 3])
+    assert len(set(G.cells(leaf, np.array([5, 0, (1 << G.BITS) - 1]), np.array([2, 2, 2, 5])).tolist())) == 3
+
+
+def test_scaled_copies_are_copies(spark):
+    """Half of the rows lie on one ray, at different lengths."""
+    x = clusters(600, 6)
+    x[::2] = x[0] * np.random.default_rng(5).uniform(0.1, 30, (300, 1)).astype(np.float32)
+    ids = np.arange(600)
+    got = lists(G.neighbours(frame(spark, ids, x)))
+    want = brute(ids, x, 5)
+    assert recall(got, want) >= 0.99 and got.keys() == want.keys()
+    df = frame(spark, ids, x)
+    assert df.where("vec_id % 2 = 0").select(G.direction("vec")).distinct().count() < 10
 
 
 def test_copies_ties_unusable_rows_and_redelivery(spark):
@@ -80,7 +120,7 @@ def test_a_vector_that_a_third_of_the_rows_share(spark):
 def test_neighbours_of_a_hot_vector_in_a_table_of_many_cells(spark, monkeypatch):
     """A third of the rows share one vector, 200 others lie around it: planes must not be drawn
     through the copies."""
-    for name, v in (("CELL", 500), ("BUCKET", 200), ("COMPANY", 30)):
+    for name, v in (("CELL", 500), ("LEAST", 60), ("ASK", 1500), ("WIDE", 300)):
         monkeypatch.setattr(G, name, v)
     x = clusters(12_000, 20)
     rng = np.random.default_rng(3)
@@ -101,7 +141,8 @@ def test_centroids_both_ways(spark, monkeypatch):
     v = frame(spark, np.arange(50), x)
     cen = spark.createDataFrame([(i, "a", [float(t) for t in r]) for i, r in enumerate(c)] + [(99, "a", None)], "pid int, dataset string, vec array<float>")
     one = lists(G.centroid_neighbours(v, cen))
-    monkeypatch.setattr(G, "CENTROID_LIMIT", 3)
+    monkeypatch.setattr(G, "CENTROID_LIMIT", 12)
+    monkeypatch.setattr(G, "ASK", 20)
     two = lists(G.centroid_neighbours(v, cen))
     assert one == two and len(one) == 50
     w, u = x / np.linalg.norm(x, axis=1, keepdims=True), c / np.linalg.norm(c, axis=1, keepdims=True)
