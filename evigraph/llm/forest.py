@@ -105,19 +105,20 @@ def nearest_pairs(x: np.ndarray) -> np.ndarray:
     return np.stack([np.arange(len(x)), best], axis=1)
 
 
-def best_in(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of at least the k + 1 most similar of ``c`` for each of ``q``, ties
-    included. The k-th largest of block maxima bounds the k-th largest value from below, so that
+def best_in(q: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column numbers and values of at least the k + 1 most similar of ``c`` for each of
+    ``q``, ties included. The k-th largest of block maxima bounds the k-th largest value from below, so that
     most entries are looked at once only."""
     s = q @ c.T
     n = s.shape[1]
     want = k + 1
     if n <= 2 * want:
-        return np.divmod(np.arange(s.size), n)
+        return (*np.divmod(np.arange(s.size), n), s.ravel())
     width = max(1, min(32, n // (2 * want)))
     head = s[:, : n // width * width].reshape(len(s), -1, width).max(axis=2)
     floor = np.partition(head, head.shape[1] - want, axis=1)[:, -want] - 2e-6
-    return np.nonzero(s >= floor[:, None])
+    r, h = np.nonzero(s >= floor[:, None])
+    return r, h, s[r, h]
 
 
 def path(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
@@ -204,23 +205,26 @@ def company(codes: np.ndarray, bits: int, top: int) -> np.ndarray:
     return out
 
 
+_COUNTS = 2.0 ** (np.arange(256) / 8) - 1
+
+
 def packed_counts(n: np.ndarray) -> np.ndarray:
     """Counts in a byte each, to a twelfth."""
     return np.minimum(255, np.floor(8 * np.log2(1.0 + n))).astype(np.uint8)
 
 
-def ascend(profiles: list[tuple[int, np.ndarray]], ask: int) -> int:
-    """The level at which an ascent over all trees at once stops: the longest prefix whose ranges
-    hold ``ask`` candidates in total. Each tree gives the length of its cell's prefix and its counts
-    from there on; beyond the cell nothing is to be found."""
-    low, high = min(d for d, _ in profiles), max(d + len(n) for d, n in profiles) - 1
-    total = np.zeros(high - low + 1)
+def ascend(profiles: list[tuple[int, np.ndarray]], ask: int) -> np.ndarray:
+    """The level at which the ascent of each vector over all trees at once stops: the longest prefix
+    whose ranges hold ``ask`` candidates in total. Each tree gives the length of its cell's prefix
+    and, a row a vector, its counts from there on; beyond the cell nothing is to be found."""
+    low, high = min(d for d, _ in profiles), max(d + n.shape[1] for d, n in profiles) - 1
+    total = np.zeros((len(profiles[0][1]), high - low + 1))
     for d, n in profiles:
-        own = 2.0 ** (n.astype(float) / 8) - 1
-        total[: d - low] += own[0]
-        total[d - low : d - low + len(n)] += own
-    enough = np.flatnonzero(total >= ask)
-    return low + (int(enough[-1]) if len(enough) else 0)
+        own = _COUNTS[n]
+        total[:, : d - low] += own[:, :1]
+        total[:, d - low : d - low + n.shape[1]] += own
+    # counts fall with the length of the prefix, so those that are enough come first
+    return low + np.maximum(0, (total >= ask).sum(axis=1) - 1)
 
 
 def compare(
@@ -228,7 +232,7 @@ def compare(
 ) -> np.ndarray:
     """Candidate pairs as ``query * len(xi) + item``: of each query the best of the items that share
     its prefix of its level in any array. Strings have ``bits`` bits."""
-    n, pairs = len(xi), []
+    n, pairs, values = len(xi), [], []
     for t, (q, c) in enumerate(zip(cq, ci)):
         order = np.argsort(c, kind="stable")
         y, s = xi[order], c[order]
@@ -251,9 +255,19 @@ def compare(
                     m = x + (int(piece[first]) - 1) * (WIDE // 2)
                     x, z = max(x, m - WIDE // 4), min(z, m + WIDE // 2 + WIDE // 4)
                 for u in range(0, len(rows) if z > x else 0, 1024):
-                    r, h = best_in(xq[rows[u : u + 1024]], y[x:z], k)
+                    r, h, value = best_in(xq[rows[u : u + 1024]], y[x:z], k)
                     pairs.append(rows[r + u] * n + order[h + x])
-    return np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+                    values.append(value)
+    if not pairs:
+        return np.zeros(0, np.int64)
+    got, first = np.unique(np.concatenate(pairs), return_index=True)
+    value = np.concatenate(values)[first]
+    # of the candidates of all trees those that may be among the k + 1 best, by the error of a float
+    q = got // n
+    order = np.lexsort((-value, q))
+    start = np.searchsorted(q, np.arange(len(xq) + 1))
+    at = np.minimum(start[:-1] + k, np.maximum(start[1:] - 1, 0))
+    return got[value >= value[order][at][q] - 2e-6]
 
 
 def lists(ids: np.ndarray, others: np.ndarray, wq: np.ndarray, wi: np.ndarray, pairs: np.ndarray, k: int, same: bool) -> pa.Table:
@@ -280,11 +294,14 @@ def lists(ids: np.ndarray, others: np.ndarray, wq: np.ndarray, wi: np.ndarray, p
 BEST = "array<struct<c:int,o:long>>"
 
 
-def direction(v: str):
-    """Hash of a vector's direction on a grid of GRID steps of its largest number, so that copies
-    that differ in length are copies."""
-    most = F.greatest(F.abs(F.array_max(v)), F.abs(F.array_min(v)))
-    return F.xxhash64(F.transform(v, lambda x: F.rint(x / most * F.lit(float(GRID))).cast("int")))
+def directions(raw: np.ndarray) -> np.ndarray:
+    """Hash of each row's direction on a grid of GRID steps of its largest number, so that copies
+    that differ in length are copies: a sum with random odd weights, mixed."""
+    grid = np.rint(raw / np.abs(raw).max(axis=1, keepdims=True).astype(np.float64) * GRID).astype(np.int64).astype(np.uint64)
+    weights = np.random.default_rng(23).integers(0, 1 << 63, grid.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = (grid * weights).sum(axis=1, dtype=np.uint64)
+    h ^= h >> np.uint64(32)
+    return (h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def neighbours(
@@ -306,7 +323,12 @@ def neighbours(
 
     # Copies, by hash: 20 bytes a row, combined map-side. Trees are sized by the vectors that are
     # searched and fitted on a sample of those: copies would draw the planes through them.
-    hashed = src.withColumn("h", direction("v"))
+    def hashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(directions(matrix(batch.column(2), dim)))], names=["id", "g", "h"])
+
+    hashed = src.select("id", "g", "v").mapInArrow(hashing, "id long, g string, h long")
     copies = hashed.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"))
     once = F.when(F.col("n") > HOT, 1).otherwise(F.col("n"))
     totals = copies.groupBy("g").agg(F.sum(once).alias("n"), F.max("n").alias("most")).limit(GROUPS + 1).collect()
@@ -317,15 +339,14 @@ def neighbours(
         hot = copies.where(F.col("n") > HOT).select("g", "h")
         members = hashed.join(hot, ["g", "h"], "left_semi").select("g", "h", "id").distinct()  # ids only
         few = members.groupBy("g", "h").agg(F.min("id").alias("rep"))
-
-    def representatives(rows: DataFrame) -> DataFrame:
-        return rows.join(few, ["g", "h"], "left").where("rep is null or id = rep") if any_hot else rows.drop("h")
-
-    forest = _fitted(src if not any_hot else representatives(hashed), sizes, sample, dim)
+        others = members.join(few, ["g", "h"]).where("id <> rep").select("id")
+        searched = src.join(others, "id", "left_anti").select("id", "g", "v")
+    else:
+        searched = src.select("id", "g", "v")
+    forest = _fitted(searched, sizes, sample, dim)
     held = spark.sparkContext.broadcast(forest)
     index = {g: i for i, g in enumerate(sorted(sizes))}
     names = sorted(sizes)
-    searched = representatives(hashed if any_hot else src.withColumn("h", F.lit(0))).select("id", "g", "v")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leaf and strings of each vector in each family."""
@@ -378,18 +399,28 @@ def neighbours(
         """The level of each vector, sent to its cells; where every family has one cell and the same,
         to that of the first."""
         for batch in batches:
-            tree, cell, ident, level = [], [], [], []
-            known: dict[tuple, int] = {}
-            for i, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = tuple((r["cell"].bit_length() - 1, r["counts"]) for r in rows)
-                at = known.get(seen)
-                if at is None:
-                    at = known[seen] = ascend([(d, np.frombuffer(n, np.uint8)) for d, n in seen], ASK)
-                for r in rows:
-                    if r["cell"] != 1 or r["tree"] % FAMILIES == 0 or any(d for d, _ in seen):
-                        tree.append(r["tree"]), cell.append(r["cell"]), ident.append(i), level.append(at)
+            rows = batch.column(1)
+            n = np.diff(rows.offsets.to_numpy())
+            tree, cell, counts = (c.to_numpy(zero_copy_only=False) for c in rows.flatten().flatten())
+            first = rows.offsets.to_numpy()[:-1] - rows.offsets.to_numpy()[0]
+            depth = np.array([c.bit_length() - 1 for c in cell.tolist()], np.int64)
+            level, whole = np.zeros(len(cell), np.int32), np.zeros(len(cell), bool)
+            # vectors whose cells have prefixes of the same lengths ascend together
+            alike: dict[tuple, list[int]] = {}
+            for i, (x, m) in enumerate(zip(first.tolist(), n.tolist())):
+                alike.setdefault(tuple((depth[y], len(counts[y])) for y in range(x, x + m)), []).append(x)
+            for shape, starts in alike.items():
+                at = np.array(starts)
+                profile = [(int(d), np.frombuffer(b"".join(counts[at + j]), np.uint8).reshape(len(at), size)) for j, (d, size) in enumerate(shape)]
+                got = ascend(profile, ASK)
+                for j in range(len(shape)):
+                    level[at + j] = got
+                    whole[at + j] = not any(d for d, _ in shape)
+            keep = np.flatnonzero(~whole | (tree % FAMILIES == 0))
+            ids = np.repeat(batch.column(0).to_numpy(), n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree, pa.int32()), pa.array(cell, pa.int64()), pa.array(ident, pa.int64()), pa.array(level, pa.int32())], names=["tree", "cell", "id", "level"],
+                [pa.array(tree[keep].astype(np.int32)), pa.array(cell[keep].astype(np.int64)), pa.array(ids[keep]), pa.array(level[keep])],
+                names=["tree", "cell", "id", "level"],
             )
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
