@@ -99,6 +99,10 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.classes_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -126,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_audit": p7_audit,
         "p8_found": p8_found,
         "p8_canonical": p8_canonical,
+        "p8_classes": p8_classes,
     }
 
 
