@@ -20,6 +20,10 @@ def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.col("l.defect").alias("defect"), F.round("l.posterior", 4).alias("posterior"))
 
 
+def p1_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.cutoffs(table(spark, sf_dir, "run_rows"))
+
+
 def _p2(spark: SparkSession, sf_dir: str) -> tuple:
     return table(spark, sf_dir, "nodes"), "node_id", F.col("content"), F.col("metadata.title")
 
@@ -111,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_labels": p1_labels,
+        "p1_cutoffs": p1_cutoffs,
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
         "p2_collisions": p2_collisions,
