@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.sources.tables import once
-
 _SPACE = r"\s\p{Z}\p{Cc}"
 #: Characters that part words: spaces, all punctuation and the ASCII marks that serve as
 #: separators. Currency and arithmetic signs stay, for they carry meaning.
@@ -20,7 +18,7 @@ _PART = rf"[[^a-z0-9]&&[{_SPACE}\p{{P}}|`~^]]"  # the first test settles most ch
 #: A run of them, but for a single mark between two digits, which is part of the number.
 _RUN = rf"(?s){_PART}(?:(?<![0-9].){_PART}*+|{_PART}++|(?![0-9])|(?<=[{_SPACE}]))"
 _HIDDEN = "[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+"
-_FIELD = r"^\s*[^:\n.!?]{1,80}:\s*\S"
+_FIELD = r"^\s*[^:\n.!?]++:\s*\S"
 
 
 def words(c: Column) -> Column:
@@ -33,11 +31,17 @@ def words(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, _RUN, " "))
 
 
+def _sorted(value: Column) -> Column:
+    """A JSON value with the keys of its objects in order; other values as they are."""
+    inner = value.rlike(r"^[{\[]") & value.contains("{")
+    return F.when(inner, F.coalesce(F.to_json(F.try_parse_json(F.lower(value))), value)).otherwise(value)
+
+
 def with_form(df: DataFrame, content: Column, title: Column) -> DataFrame:
     """Adds ``_form``, the canonical form of content and title.
 
-    The content's form is its words or, of a record, the sorted words of its fields. A record is a
-    JSON object, lines ``relation: value``, or ``relation: value`` items parted by ``;`` or ``|``
+    The content's form is its words or, of a record, the sorted words of its fields; objects inside a
+    JSON object have the order of their keys, at any depth. A record is a JSON object, lines ``relation: value``, or ``relation: value`` items parted by ``;`` or ``|``
     after a name and a full stop. Each step is a projection of its own, so that an expression that
     several others use is computed once, and only where the ones before ask for it."""
     text, n = F.col("_text"), F.length("_name")
@@ -49,14 +53,14 @@ def with_form(df: DataFrame, content: Column, title: Column) -> DataFrame:
         "_json": F.when(text.startswith("{"), F.map_entries(F.from_json(text, "map<string,string>"))),
         "_lines": F.when(marked & text.rlike(r"[\r\n]"), F.filter(F.split(text, r"[\r\n\u2028\u2029]+"), shown)),
         # the name goes before the first full stop and has no colon
-        "_name": F.when(marked & text.rlike("[;|]"), F.regexp_extract(text, rf"^([^:;|]*?)\.[{_SPACE}]+[^:.;|!?]{{1,80}}:", 1)),
+        "_name": F.when(marked & text.rlike("[;|]"), F.regexp_extract(text, rf"^([^:;|]*?)\.[{_SPACE}]+[^:.;|!?]++:", 1)),
     })
     rest = F.when(n > 0, F.substring(text, n + F.lit(2), F.length(text))).otherwise(text)
     out = out.withColumn("_items", F.when(F.col("_name").isNotNull(), F.filter(F.split(rest, "[;|]"), shown)))
     fields = (
         F.when(
             F.size("_json") > 0,
-            F.transform("_json", lambda e: F.concat_ws(" ", e["key"], F.coalesce(e["value"], F.lit("null")))),
+            F.transform("_json", lambda e: F.concat_ws(" ", e["key"], F.coalesce(_sorted(e["value"]), F.lit("null")))),
         )
         .when((F.size("_lines") > 1) & F.forall("_lines", is_field), F.col("_lines"))
         .when(
@@ -131,7 +135,3 @@ def collisions(df: DataFrame, id_col: str, content: Column, title: Column) -> Da
         .select(F.hex("h128").alias("h128"), "rows")
     )
 
-
-def nodes_once(nodes: DataFrame) -> DataFrame:
-    """Nodes by id, each once."""
-    return once(nodes.select("node_id", "content", F.col("metadata.title").alias("title")), "node_id", "content", "title")

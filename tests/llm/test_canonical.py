@@ -30,6 +30,16 @@ def test_fields_may_change_their_order(spark):
     assert kept(spark, rows) == {("a", "b"), ("d", "e"), ("f", "g")}
 
 
+def test_long_names_of_fields_and_nested_objects(spark):
+    name = "the name under which the building is known " * 4
+    rows = [
+        ("a", f"{name}: X\nborn in: Rome", "t"), ("b", f"born in: Rome\n{name}: X", "t"), ("c", f"N. {name}: X; born in: Rome", "t"), ("d", f"N. born in: Rome; {name}: X", "t"),
+        ("e", '{"p": {"x": 1, "y": {"b": 2, "a": [1, {"d": 1, "c": 2}]}}, "q": 1}', "t"), ("f", '{"q": 1, "p": {"y": {"a": [1, {"c": 2, "d": 1}], "B": 2}, "x": 1}}', "t"),
+        ("g", '{"q": 1, "p": {"y": {"a": [1, {"c": 1, "d": 2}], "b": 2}, "x": 1}}', "t"), ("h", '{"q": [2, {"a": 1}]}', "t"), ("i", '{"q": [{"a": 1}, 2]}', "t"),
+    ]
+    assert kept(spark, rows) == {("a", "b"), ("c", "d"), ("e", "f")}
+
+
 def test_numbers_keep_their_marks(spark):
     rows = [("a", "costs 5.6 crowns", "t"), ("b", "costs 56 crowns", "t"), ("c", "costs 5 6 crowns", "t"), ("d", "costs 5.6, crowns.", "t"), ("e", "on 10:30", "t"), ("f", "on 10.30", "t")]
     assert kept(spark, rows) == {("a", "d")}
