@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +28,22 @@ def normal_answer(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\b(a|an|the)\b", " "), r"\s+", " "))
 
 
+@F.pandas_udf("string")
+def compatible(c: pd.Series) -> pd.Series:
+    """Compatibility form (NFKC), which the JVM's functions lack."""
+    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+@F.pandas_udf("string")
+def folded(c: pd.Series) -> pd.Series:
+    """Compatibility form without case: NFKC and full case folding."""
+    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()))
+
+
 def content_key(title: Column, text: Column) -> Column:
-    """Content-addressed key of a document: white space collapsed, title without case."""
-    squeeze = lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
-    return F.sha2(F.concat(F.lower(squeeze(title)), F.lit("\n"), squeeze(text)), 256)
+    """Content-addressed key of a document: compatibility form, white space collapsed, the title
+    without case."""
+    return F.sha2(F.concat(squeezed(folded(F.coalesce(title, F.lit("")))), F.lit("\n"), squeezed(compatible(F.coalesce(text, F.lit(""))))), 256)
 
 
 def title_or_id(title: Column, ident: Column) -> Column:
@@ -40,10 +55,24 @@ def relation_label(path: Column) -> Column:
     return F.replace(F.element_at(F.split(path, r"\."), -1), F.lit("_"), F.lit(" "))
 
 
+#: White space of any script, and what parts sentences where no double blank does.
+BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+SENTENCE_END = rf"([.!?]){BLANK}+([A-Z0-9\"'])"
+
+
+def squeezed(c: Column) -> Column:
+    """White space at the ends gone, inside it single blanks."""
+    return F.trim(F.regexp_replace(c, BLANK + "+", " "))
+
+
 def sentences(c: Column) -> Column:
-    """Sentences: parted by two or more white spaces, or one after ``.!?`` before a capital, a
-    digit or a quote."""
-    return F.filter(F.split(c, r"\s{2,}|(?<=[.!?])\s+(?=[A-Z0-9\"'])"), lambda x: F.trim(x) != "")
+    """Sentences: where a text has two or more white spaces in a row anywhere, those part it; only
+    else a white space after ``.!?`` before a capital, a digit or a quote does. White space inside a
+    sentence becomes one blank, blank sentences go; null gives none."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), rf"^{BLANK}+|{BLANK}+$", ""), "\r\n?", "\n")
+    marked = F.regexp_replace(text, SENTENCE_END, "$1\u0001$2")
+    parts = F.when(text.rlike(BLANK + "{2,}"), F.split(text, BLANK + "{2,}")).otherwise(F.split(marked, "\u0001"))
+    return F.filter(F.transform(parts, squeezed), lambda x: x != "")
 
 
 def triplets(c: Column) -> Column:
@@ -53,12 +82,23 @@ def triplets(c: Column) -> Column:
     return F.array_distinct(F.transform(good, lambda p: F.struct(F.trim(p[0]).alias("h"), F.trim(p[1]).alias("r"), F.trim(p[2]).alias("t"))))
 
 
+#: What parts a question, what a span of names is, what may stand before one, and
+#: words that are no sub-query.
+PART = r"\band\b|\bor\b|,|;|\bwhose\b|\bhave\b"
+NAMES = r"[A-Z][\p{L}\p{N}_.'\x{2019}&:\-]*(?:\s+(?:[A-Z][\p{L}\p{N}_.'\x{2019}&:\-]*|of|the|to|de|for|a|an|in|\([^)]*\)))*"
+LEAD = r"^(?:Are|Do|Does|Which|What|Who|Where|When|Is|Both|The)\b\s*"
+NO_QUERY = ("film", "films", "director", "directors", "the")
+
+
 def decompose(c: Column) -> Column:
-    """Sub-queries of a question: itself, bracketed spans, and capitalised spans of its parts."""
-    lead = F.regexp_replace(c, r"^(?i)(what|who|whom|whose|which|where|when|why|how)\s+", "")
-    parts = F.split(lead, r"(?i)\s+(?:and|or|whose|have)\s+|[,;]\s*")
-    spans = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(r"\p{Lu}[\p{L}'-]*(?:\s+\p{Lu}[\p{L}'-]*)*"), F.lit(0))))
-    return F.array_distinct(F.concat(F.array(c), F.regexp_extract_all(c, F.lit(r"\[([^\]]+)\]"), F.lit(1)), spans))
+    """Sub-queries of a question, each once, in order: itself, bracketed spans, and spans of names in
+    its parts, with connecting words inside them, without a leading question word, longer than two
+    characters; null gives null."""
+    brackets = F.transform(F.regexp_extract_all(c, F.lit(r"\[([^\]]+)\]"), F.lit(1)), F.trim)
+    spans = F.flatten(F.transform(F.split(c, PART), lambda p: F.regexp_extract_all(p, F.lit(NAMES), F.lit(0))))
+    spans = F.transform(spans, lambda x: F.trim(F.regexp_replace(F.trim(x), LEAD, "")))
+    good = F.filter(spans, lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*NO_QUERY))
+    return F.array_distinct(F.concat(F.array(c), F.filter(brackets, lambda x: x != ""), good))
 
 
 def keyword_object(c: Column) -> Column:

@@ -73,20 +73,95 @@ def topk(
     batch sends its k best per query on, so what is shuffled doesn't grow with the items of a task.
     """
     spark = attach(items.sparkSession)
-    q = queries.where("query_id is not null and vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
     src = items.where("doc_id is not null and vec is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
-    got = q.toArrow().sort_by("query_id")
     out = None
-    for at in range(0, max(1, got.num_rows), BLOCK):
-        part = got.slice(at, BLOCK).combine_chunks()
-        ids = part.column("query_id").to_numpy()
-        x = _matrix(part.column("vec"))
-        held = spark.sparkContext.broadcast((ids, _shape(x, transform)))
+    for part in query_blocks(queries.where("vec is not null").select("query_id", F.col("vec").cast("array<double>").alias("vec"))):
+        held = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), _shape(_matrix(part.column("vec")), transform)))
         found = src.mapInArrow(_scan(held, k, transform, exclude_self, digits), "query_id long, doc_id long, score double")
         out = found if out is None else out.unionByName(found)
     return ranked(out, k)
 
 
+def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """The queries by id, in blocks of about BLOCK rows, one at a time on the driver: they are counted
+    first, and a larger table is read block by block, by the hash of the id."""
+    q = queries.where("query_id is not null").withColumn("query_id", F.col("query_id").cast("long"))
+    n = q.count()
+    blocks = 1 if n <= BLOCK else -(-2 * n // BLOCK)
+    for b in range(blocks):
+        yield (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().sort_by("query_id")
+
+
+def topk_heads(heads: DataFrame, items: DataFrame, k: int, tau: float | None = None, digits: int = 6) -> DataFrame:
+    """``(query_id, rnk, doc_id, score)`` of queries with several positions ``(query_id, h, vec)``: the
+    largest of a document's scores or, with ``tau``, their soft-or max + tau ln sum exp((x - max) /
+    tau). Heads are put together inside the tasks, so no more than k a batch and query are shuffled.
+    A query's heads, few by nature, stay in one block."""
+    spark = attach(items.sparkSession)
+    src = items.where("doc_id is not null and vec is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    out = None
+    for part in query_blocks(heads.where("vec is not null").select("query_id", F.col("vec").cast("array<double>").alias("vec"))):
+        ids, starts = np.unique(part.column("query_id").to_numpy(), return_index=True)
+        held = spark.sparkContext.broadcast((ids, starts, _matrix(part.column("vec"))))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, starts, q = held.value
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                own, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                for lo in range(0, batch.num_rows, 1024):
+                    s = np.round(q @ x[lo : lo + 1024].T, digits) + 0.0
+                    top = np.maximum.reduceat(s, starts)
+                    if tau is not None:
+                        many = np.diff(np.append(starts, len(s)))
+                        top = np.round(top + tau * np.log(np.add.reduceat(np.exp((s - np.repeat(top, many, axis=0)) / tau), starts)), digits)
+                    yield _best(ids, own[lo : lo + 1024], top, k)
+
+        found = src.mapInArrow(run, "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, k)
+
+
+def _best(ids: np.ndarray, own: np.ndarray, s: np.ndarray, k: int) -> pa.RecordBatch:
+    order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+    r, c = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
+    keep = np.isfinite(s[r, c])
+    return pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(own[c[keep]]), pa.array(s[r[keep], c[keep]])], names=["query_id", "doc_id", "score"])
+
+
+def rank_of(queries: DataFrame, items: DataFrame, pairs: DataFrame, transform: str = "unit", digits: int = 6) -> DataFrame:
+    """``(query_id, doc_id, rnk)``: at which place of the whole ranking each pair's item stands, by
+    counting the items before it; no ranking is formed. A query itself is no item of its own. The
+    pairs of a block of queries, as few as golds are, are held by the tasks."""
+    spark = attach(items.sparkSession)
+    src = items.where("doc_id is not null and vec is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    asked = queries.where("vec is not null").select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+    wanted = pairs.select("query_id", "doc_id").distinct().join(src, "doc_id").join(asked.withColumnRenamed("vec", "qv"), "query_id")
+    out = None
+    for part in query_blocks(wanted.select("query_id", "doc_id", "vec", "qv")):
+        ids, first, row = np.unique(part.column("query_id").to_numpy(), return_index=True, return_inverse=True)
+        q = _shape(_matrix(part.column("qv")), transform)[first]
+        gold, x = part.column("doc_id").to_numpy(), _shape(_matrix(part.column("vec")), transform)
+        held = spark.sparkContext.broadcast((ids, q, row, gold, np.round(np.einsum("ij,ij->i", q[row], x), digits) + 0.0))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, q, row, gold, score = held.value
+            before = np.zeros(len(row), np.int64)
+            for batch in batches:
+                own, x = batch.column(0).to_numpy(), _shape(_matrix(batch.column(1)), transform)
+                for lo in range(0, batch.num_rows if len(ids) else 0, 1024):
+                    some = own[lo : lo + 1024]
+                    s = (np.round(q @ x[lo : lo + 1024].T, digits) + 0.0)[row]
+                    ahead = (s > score[:, None]) | ((s == score[:, None]) & (some[None, :] < gold[:, None]))
+                    before += (ahead & (some[None, :] != ids[row][:, None]) & (some[None, :] != gold[:, None])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(gold), pa.array(before)], names=["query_id", "doc_id", "before"])
+
+        found = src.mapInArrow(run, "query_id long, doc_id long, before long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("query_id", "doc_id").agg((F.sum("before") + 1).alias("rnk"))
+
+
 def _matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     n = len(col)
@@ -111,13 +186,13 @@ def _scan(held, k: int, transform: str, exclude_self: bool, digits: int):
                 s = np.round(q[lo : lo + 1024] @ x.T, digits) + 0.0
                 if exclude_self:
                     s[ids[lo : lo + 1024, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(s)), order.shape[1])
-                c = order.ravel()
-                keep = np.isfinite(s[r, c])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo + r[keep]]), pa.array(own[c[keep]]), pa.array(s[r[keep], c[keep]])], names=["query_id", "doc_id", "score"]
-                )
+                if s.shape[1] > 4 * k:  # few columns can be among the k best: sort those only
+                    floor = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
+                    s = np.where(s >= floor[:, None], s, -np.inf)
+                    some = np.flatnonzero(np.isfinite(s).any(axis=0))
+                    yield _best(ids[lo : lo + 1024], own[some], s[:, some], k)
+                else:
+                    yield _best(ids[lo : lo + 1024], own, s, k)
 
     return run
 

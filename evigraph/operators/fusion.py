@@ -94,6 +94,9 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return x.select("query_id").distinct().join(n, "query_id", "left").select("query_id", F.round(F.coalesce("n", F.lit(0)) / k, 6).alias("overlap"))
 
 
+PARTITIONS = 65_536  # rows of a partition table that orders name
+
+
 def votes(ranking: DataFrame, membership: DataFrame, how: str, k0: float = 60.0, k: int = 200, weight: Column | None = None) -> DataFrame:
     """``(query_id, pid, score)``: votes of the first k documents for their partitions.
 
@@ -107,8 +110,11 @@ def votes(ranking: DataFrame, membership: DataFrame, how: str, k0: float = 60.0,
 
 def route_order(score: DataFrame, pids: DataFrame, k0: float = 60.0) -> DataFrame:
     """``(query_id, pid, rnk, rr)``: partitions by votes, those without a vote last by id, with the
-    reciprocal of their rank. ``pids`` is the partition table, small by nature."""
-    grid = score.select("query_id").distinct().crossJoin(F.broadcast(pids))
+    reciprocal of their rank. Of ``pids``, the partition table, at most PARTITIONS rows are taken."""
+    known = sorted(r[0] for r in pids.where("pid is not null").distinct().limit(PARTITIONS + 1).collect())
+    if len(known) > PARTITIONS:
+        raise ValueError(f"more than {PARTITIONS} partitions to order")
+    grid = score.select("query_id").distinct().withColumn("pid", F.explode(F.lit(known).cast(f"array<{pids.schema['pid'].dataType.simpleString()}>")))
     full = grid.join(score, ["query_id", "pid"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     rnk = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pid")).cast("long")
     return full.withColumn("rnk", rnk).select("query_id", "pid", "rnk", F.round(1.0 / (k0 + F.col("rnk") - 1), 9).alias("rr"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigraph.functions.vector import dot, mean_by, ranked
+from evigraph.functions.vector import _best, _matrix, mean_by, ranked
 
 RANGES = 4_096  # id ranges by which a global rank is computed in parallel
 
@@ -37,19 +39,65 @@ def centroids(items: DataFrame, degree: DataFrame | None = None) -> DataFrame:
     return mean_by(items, ["pid"], "vec")
 
 
-def scoped(queries: DataFrame, routed: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Exact ranking of the items of each query's routed partitions only. Stored by partition, the
-    items' scan is pruned to the routed ones; otherwise it is an equi-join on the partition."""
-    q = routed.select("query_id", "pid").join(queries.select("query_id", F.col("vec").alias("qv")), "query_id")
-    s = q.join(items.select("pid", "doc_id", "vec"), "pid").select("query_id", "doc_id", F.round(dot(F.col("qv"), F.col("vec")), 6).alias("score"))
-    return ranked(s, k)
+LIMIT = 65_536  # partitions whose centroids a task may hold
+ROWS, ASKING = 32_768, 8_192  # documents and queries of a partition that one task compares
+
+
+def held_centroids(cents: DataFrame) -> pa.Table:
+    """Centroids ``(pid, vec)`` on the driver, counted before they are fetched."""
+    n = cents.count()
+    if n > LIMIT:
+        raise ValueError(f"{n} partitions: more centroids than a task may hold ({LIMIT})")
+    return cents.select("pid", "vec").toArrow().sort_by("pid")
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Marked for a broadcast if it is counted to be small; otherwise left to the planner."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def scoped(queries: DataFrame, routed: DataFrame, items: DataFrame, k: int, each: bool = False) -> DataFrame:
+    """Exact ranking of the items of each query's routed partitions only: ``(query_id, rnk, doc_id,
+    score)``, or with ``each`` the k best of each partition, ``(query_id, pid, doc_id, score)``.
+
+    A partition is cut into blocks of ROWS documents and its queries into blocks of ASKING, by their
+    counts, so that a partition that holds a third of all rows is many tasks; each compares its
+    blocks as matrices and sends k documents a query on."""
+    q = routed.select("query_id", "pid").join(queries.select("query_id", F.col("vec").cast("array<double>").alias("qv")), "query_id")
+    it = items.where("vec is not null").select("pid", "doc_id", F.col("vec").cast("array<double>").alias("vec"))
+    parts = it.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("db")).join(
+        routed.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("qb")), "pid"
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    parts = small(parts)
+    # aliases, for the two sides have a table in common
+    own = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in cols])
+    left = own(it.join(parts, "pid").withColumn("d", F.pmod(F.xxhash64("doc_id"), F.col("db")).cast("int")).withColumn("q", every(F.col("qb"))), "pid", "d", "q", "doc_id", "vec")
+    right = own(q.join(parts, "pid").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("d", every(F.col("db"))), "pid", "d", "q", "query_id", "qv")
+
+    def run(key: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, own = asked.column("query_id").to_numpy(), docs.column("doc_id").to_numpy()
+        x, y = _matrix(asked.column("qv")), _matrix(docs.column("vec"))
+        out = []
+        for lo in range(0, len(ids) if len(own) else 0, 256):
+            out.append(_best(ids[lo : lo + 256], own, np.round(x[lo : lo + 256] @ y.T, 6) + 0.0, k))
+        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+        got = pa.Table.from_batches(out, schema) if out else schema.empty_table()
+        return got.append_column("pid", pa.array(np.full(got.num_rows, key[0].as_py(), np.int64)))
+
+    keys = ["pid", "d", "q"]
+    s = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, doc_id long, score double, pid long")
+    if not each:
+        return ranked(s.select("query_id", "doc_id", "score"), k)
+    w = W.partitionBy("query_id", "pid").orderBy(F.desc("score"), "doc_id")
+    return s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "pid", "doc_id", "score")
 
 
 def quota(routed: DataFrame, scored: DataFrame, membership: DataFrame, partitions: int, each: int, k: int) -> DataFrame:
     """Quota interleave: of each of the first partitions the ``each`` best documents, taken rank by
     rank across partitions. ``routed (query_id, pid, rnk)``, ``scored (query_id, doc_id, score)``."""
     top = routed.where(F.col("rnk") <= partitions).select("query_id", "pid", F.col("rnk").alias("pr"))
-    own = scored.join(membership, "doc_id").join(top, ["query_id", "pid"])
+    own = (scored if "pid" in scored.columns else scored.join(membership, "doc_id")).join(top, ["query_id", "pid"])
     dr = F.row_number().over(W.partitionBy("query_id", "pid").orderBy(F.desc("score"), "doc_id"))
     own = own.withColumn("dr", dr).where(F.col("dr") <= each)
     first = own.groupBy("query_id", "doc_id").agg(F.min(F.struct("dr", "pr")).alias("p"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigraph.functions.vector import dot, ranked, topk, unit
+from evigraph.functions.vector import BLOCK, dot, rank_of, ranked, topk, topk_heads, unit
 from evigraph.operators import fusion, graph, metrics, partition
 from evigraph.plans.registry import query
 from evigraph.sources.tables import table
@@ -136,7 +136,7 @@ def member_knn(spark, sf, m: int = 2) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    got = partition.centroids(items(spark, sf)).select("pid", "vec").toArrow().sort_by("pid")
+    got = partition.held_centroids(partition.centroids(items(spark, sf)))
     held = spark.sparkContext.broadcast((got.column("pid").to_numpy(), _matrix(got.column("vec"))))
 
     def run(batches):
@@ -169,31 +169,19 @@ def heads(spark, sf) -> DataFrame:
     """A query's positions: itself, and itself moved towards each of its two nearest centroids."""
     q = asked(spark, sf).select("query_id", unit(F.col("vec")).alias("vec"))
     c = partition.centroids(items(spark, sf)).select("pid", F.col("vec").alias("cv"))
-    moved = routed(spark, sf, 2).join(F.broadcast(c), "pid").join(q, "query_id").select("query_id", F.col("rnk").cast("long").alias("h"), F.zip_with("vec", "cv", lambda a, b: a + b).alias("vec"))
+    moved = routed(spark, sf, 2).join(partition.small(c), "pid").join(q, "query_id").select("query_id", F.col("rnk").cast("long").alias("h"), F.zip_with("vec", "cv", lambda a, b: a + b).alias("vec"))
     return q.select("query_id", F.lit(0).cast("long").alias("h"), "vec").unionByName(moved)
 
 
-def _per_head(spark, sf) -> DataFrame:
-    """Scores of every head: a query's heads are few, so heads are searched as queries, keyed by
-    query and head; each keeps its 200 best, more than any fused list shows."""
-    h = heads(spark, sf).select((F.col("query_id") * 8 + F.col("h")).alias("query_id"), "vec")
-    it = items(spark, sf).withColumn("vec", unit(F.col("vec")))
-    top = topk(h, it, 1 << 30)
-    return top.select(F.floor(F.col("query_id") / 8).alias("query_id"), F.col("query_id") % 8, "doc_id", "score")
-
-
 @query("multi_head_max", f"with {U}, {ROUTED}, {HEADS}, s as (select query_id, doc_id, max(round(list_dot_product(hd.v, u.v), 6)) as score from hd, u group by query_id, doc_id) select * from (select query_id, {RANK} as rnk, doc_id, score from s) where rnk <= 50")
 def multi_head_max(spark, sf):
-    return ranked(_per_head(spark, sf).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), 50)
+    return topk_heads(heads(spark, sf), items(spark, sf).withColumn("vec", unit(F.col("vec"))), 50)
 
 
 @query("multi_head_softor", f"with {U}, {ROUTED}, {HEADS}, s0 as (select query_id, doc_id, round(list_dot_product(hd.v, u.v), 6) as x from hd, u), s as (select query_id, doc_id, round(max(x) + 0.05 * ln(sum(exp((x - m) / 0.05))), 6) as score from (select *, max(x) over (partition by query_id, doc_id) as m from s0) group by query_id, doc_id) select * from (select query_id, {RANK} as rnk, doc_id, score from s) where rnk <= 50")
 def multi_head_softor(spark, sf):
     """Soft-or of the heads, tau 0.05: max + tau ln sum exp((x - max) / tau)."""
-    h = _per_head(spark, sf).groupBy("query_id", "doc_id").agg(F.collect_list("score").alias("x"))  # one entry a head
-    m = F.array_max("x")
-    soft = m + 0.05 * F.log(F.aggregate("x", F.lit(0.0), lambda s, v: s + F.exp((v - m) / 0.05)))
-    return ranked(h.select("query_id", "doc_id", F.round(soft, 6).alias("score")), 50)
+    return topk_heads(heads(spark, sf), items(spark, sf).withColumn("vec", unit(F.col("vec"))), 50, tau=0.05)
 
 
 PRF = f"""t1 as (select query_id, doc_id from dense where rnk = 1), pq as (select t1.query_id, list_transform(list_zip(a.v, b.v), lambda z: z[1] + z[2]) as v from t1 join u a on a.doc_id = t1.query_id join u b on b.doc_id = t1.doc_id),
@@ -327,6 +315,22 @@ def _order_sql(name: str, src: str) -> str:
 ROUTE = f"{V.format('vs', 'sum(1.0 / (59 + rnk))')}, {V.format('vm', 'max(1.0 / (59 + rnk))')}, {_order_sql('os', 'vs')}, {_order_sql('om', 'vm')}, rt as (select query_id, pid, round(os.rr + om.rr, 9) as score, row_number() over (partition by query_id order by round(os.rr + om.rr, 9) desc, pid) as rnk from os join om using (query_id, pid))"
 
 
+def scored(spark, sf, pairs: DataFrame) -> DataFrame:
+    """Pairs ``(query_id, doc_id, ...)`` with their cosine."""
+    it = items(spark, sf).select("doc_id", unit(F.col("vec")).alias("vec"))
+    q = asked(spark, sf).select("query_id", unit(F.col("vec")).alias("qv"))
+    return pairs.join(q, "query_id").join(it, "doc_id").withColumn("score", F.round(dot(F.col("qv"), F.col("vec")), 6)).drop("qv", "vec")
+
+
+def in_partitions(spark, sf, routed: DataFrame, each: int) -> DataFrame:
+    """The ``each`` best documents of every routed partition, scored inside it; a query is none."""
+    it = items(spark, sf).withColumn("vec", unit(F.col("vec")))
+    q = asked(spark, sf).withColumn("vec", unit(F.col("vec")))
+    s = partition.scoped(q, routed, it, each + 1, each=True).where("doc_id <> query_id")
+    w = W.partitionBy("query_id", "pid").orderBy(F.desc("score"), "doc_id")
+    return s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= each).drop("r")
+
+
 def vote_order(spark, sf, membership: DataFrame | None = None) -> DataFrame:
     d, m = dense(spark, sf), membership if membership is not None else hard(spark, sf)
     pids = hard(spark, sf).select("pid").distinct()
@@ -353,16 +357,16 @@ def vote_idf(spark, sf):
 @query("partition_quota", f"""with {DENSE}, {ROUTE}, o as (select d.query_id, d.doc_id, rt.rnk as pr, row_number() over (partition by d.query_id, rt.pid order by d.score desc, d.doc_id) as dr from dense_s d join e using (doc_id) join rt on rt.query_id = d.query_id and rt.pid = e.pid where rt.rnk <= 5)
     select * from (select query_id, row_number() over (partition by query_id order by dr, pr, doc_id) as rnk, doc_id from o where dr <= 5) where rnk <= 100""")
 def partition_quota(spark, sf):
-    scored = topk(asked(spark, sf), items(spark, sf), 1 << 30, "unit", exclude_self=True).select("query_id", "doc_id", "score")
-    return partition.quota(vote_order(spark, sf), scored, hard(spark, sf), 5, 5, 100)
+    order = vote_order(spark, sf)
+    return partition.quota(order, in_partitions(spark, sf, order.where("rnk <= 5"), 5), hard(spark, sf), 5, 5, 100)
 
 
 @query("route_fill", f"""with {DENSE}, {ROUTE}, o as (select d.query_id, d.doc_id, rt.rnk as pr, row_number() over (partition by d.query_id, rt.pid order by d.score desc, d.doc_id) as dr from dense_s d join e using (doc_id) join rt on rt.query_id = d.query_id and rt.pid = e.pid where rt.rnk <= 3),
     a as (select query_id, doc_id, row_number() over (partition by query_id order by dr, pr, doc_id) as r, 0 as t from o where dr <= 5), t as (select query_id, doc_id, min(struct_pack(t := t, r := r)) as p from (select query_id, doc_id, r, t from a union all select query_id, doc_id, rnk, 1 from dense) group by query_id, doc_id)
     select * from (select query_id, row_number() over (partition by query_id order by p.t, p.r, doc_id) as rnk, doc_id, p.t::BIGINT as tier from t) where rnk <= 50""")
 def route_fill(spark, sf):
-    scored = topk(asked(spark, sf), items(spark, sf), 1 << 30, "unit", exclude_self=True).select("query_id", "doc_id", "score")
-    head = partition.quota(vote_order(spark, sf), scored, hard(spark, sf), 3, 5, 100)
+    order = vote_order(spark, sf)
+    head = partition.quota(order, in_partitions(spark, sf, order.where("rnk <= 3"), 5), hard(spark, sf), 3, 5, 100)
     return fusion.tiers([(head, None), (dense(spark, sf), None)], 50)
 
 
@@ -431,7 +435,7 @@ def candgen_matched(spark, sf):
     h, order = hard(spark, sf), vote_order(spark, sf)
     z = h.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     pool = order.where("rnk <= 3").join(z, "pid").groupBy("query_id").agg(F.sum("n").alias("pool"))
-    every = topk(asked(spark, sf), items(spark, sf), 1 << 30, "unit", exclude_self=True).select("query_id", "doc_id", F.col("rnk").alias("dr"))
+    every = rank_of(asked(spark, sf), items(spark, sf), golds(spark, sf)).withColumnRenamed("rnk", "dr")
     j = golds(spark, sf).join(h, "doc_id").join(order.select("query_id", "pid", "rnk"), ["query_id", "pid"]).join(pool, "query_id").join(every, ["query_id", "doc_id"])
     p, d = (F.col("rnk") <= 3).cast("double"), (F.col("dr") <= F.col("pool")).cast("double")
     return j.groupBy("query_id").agg(F.first("pool").alias("pool"), F.round(F.avg(p), 6).alias("partition_recall"), F.round(F.avg(d), 6).alias("dense_recall"), F.round(F.avg(p) - F.avg(d), 6).alias("gap"))
@@ -483,8 +487,10 @@ def metrics_contract(spark, sf):
 def metrics_partition(spark, sf):
     """Partition metrics: golds are the partitions of the five vectors nearest by id; the miss
     sentinel is the number of partitions + 1."""
-    it = hard(spark, sf)
-    near = it.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.sequence(F.col("doc_id") - 10, F.col("doc_id") + 10)).alias("doc_id")).where("doc_id <> query_id").join(it, "doc_id")
+    it = partition.dense_rank_of(hard(spark, sf), "doc_id")
+    # the five nearest by id are among the five before and the five after, whatever the gaps
+    around = it.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.sequence(F.col("idx") - 5, F.col("idx") + 5)).alias("idx"))
+    near = around.join(it, "idx").where("doc_id <> query_id")
     w = W.partitionBy("query_id").orderBy(F.abs(F.col("doc_id") - F.col("query_id")), "doc_id")
     g = near.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", F.col("pid").alias("doc_id"))
     order = vote_order(spark, sf).select("query_id", F.col("pid").alias("doc_id"), "rnk")
@@ -510,7 +516,7 @@ def miss_taxonomy(spark, sf):
 
 @query("gold_location", f"with {DENSE}, {GOLD}, al as (select query_id, doc_id, {RANK} as rnk from dense_s) select count(*)::BIGINT as golds, round(avg((rnk <= 20)::INT), 6) as in_20, round(avg((rnk <= 100)::INT), 6) as in_100, round(avg((rnk <= 500)::INT), 6) as in_500, quantile_cont(rnk, 0.5)::DOUBLE as median_rank from gold join al using (query_id, doc_id)")
 def gold_location(spark, sf):
-    every = topk(asked(spark, sf), items(spark, sf), 1 << 30, "unit", exclude_self=True)
+    every = rank_of(asked(spark, sf), items(spark, sf), golds(spark, sf))
     j = golds(spark, sf).join(every, ["query_id", "doc_id"])
     inside = lambda k: F.round(F.avg((F.col("rnk") <= k).cast("double")), 6).alias(f"in_{k}")
     return j.agg(F.count(F.lit(1)).alias("golds"), inside(20), inside(100), inside(500), F.percentile("rnk", F.lit(0.5)).alias("median_rank"))
@@ -567,11 +573,9 @@ def maxsim(spark, sf):
     import numpy as np
     import pyarrow as pa
 
-    from evigraph.functions.vector import BLOCK, _matrix, _shape  # noqa: PLC2701
+    from evigraph.functions.vector import _matrix, _shape, query_blocks  # noqa: PLC2701
 
-    got = asked(spark, sf).toArrow().sort_by("query_id")
-    if got.num_rows > BLOCK:
-        raise ValueError("more queries than a task holds; search them in blocks")
+    (got,) = query_blocks(asked(spark, sf))  # one block at this size; of more, each is searched by itself
     held = spark.sparkContext.broadcast((got.column("query_id").to_numpy(), _shape(_matrix(got.column("vec")).astype(float), "unit")))
 
     def run(batches):

@@ -229,15 +229,26 @@ def pool_narrow(spark, sf):
     return both.groupBy("query_id").agg(F.count_distinct("doc_id").alias("pool"), F.count_distinct(F.when(F.col("k") == 0, F.col("doc_id"))).alias("narrowed"))
 
 
-@query("sentence_split")
+_BLANK = "[\\s\\pZ\\x0b\\x1c-\\x1f\\x{85}]"
+_SQUEEZE = f"trim(regexp_replace(x, '{_BLANK}+', ' ', 'g'))"
+
+
+@query("sentence_split", f"""with t as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^{_BLANK}+|{_BLANK}+$', '', 'g'), '\\r\\n?', chr(10), 'g') as x from documents),
+    s as (select doc_id, list_filter(list_transform(case when regexp_matches(x, '{_BLANK}{{2,}}') then string_split_regex(x, '{_BLANK}{{2,}}') else string_split(regexp_replace(x, '([.!?]){_BLANK}+([A-Z0-9"\'\'])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) end, lambda x: {_SQUEEZE}), lambda x: x <> '') as p from t)
+    select doc_id, (unnest(range(len(p))))::BIGINT as pos, unnest(p) as sentence from s""")
 def sentence_split(spark, sf):
-    """Sentences by look-around patterns, which the SQL check's engine doesn't have."""
-    return docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sentence"))
+    return docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+_NAMES = "[A-Z][\\pL\\pN_.\'\'\u2019&:\\-]*(?:\\s+(?:[A-Z][\\pL\\pN_.\'\'\u2019&:\\-]*|of|the|to|de|for|a|an|in|\\([^)]*\\)))*"
 
 
-@query("query_decompose")
+@query("query_decompose", f"""with q as (select distinct query_id, text from queries where query_id is not null and text is not null),
+    p as (select query_id, text, [text] || list_filter(list_transform(regexp_extract_all(text, '\\[([^\\]]+)\\]', 1), lambda x: trim(x)), lambda x: x <> '') || list_filter(list_transform(flatten(list_transform(string_split_regex(text, '{T.PART}'), lambda f: regexp_extract_all(f, '{_NAMES}'))), lambda x: trim(regexp_replace(trim(x), '{T.LEAD}', ''))), lambda x: len(x) > 2 and lower(x) not in {T.NO_QUERY}) as parts from q),
+    e as (select query_id, unnest(parts) as part, generate_subscripts(parts, 1) as i from p), d as (select query_id, part, min(i) as i from e group by 1, 2)
+    select query_id, part, row_number() over (partition by query_id order by i) - 1 as pos from d""")
 def query_decompose(spark, sf):
-    q = table(spark, sf, "queries").select("query_id", "text").where("text is not null").dropDuplicates(["query_id"])
+    q = table(spark, sf, "queries").select("query_id", "text").where("text is not null and query_id is not null").dropDuplicates(["query_id"])
     return q.select("query_id", F.posexplode(T.decompose(F.col("text"))).alias("pos", "part"))
 
 

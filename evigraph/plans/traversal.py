@@ -148,7 +148,7 @@ def soar(spark, sf):
     """Two partitions a vector; centroids, few by nature, are held by the tasks."""
     import pandas as pd
 
-    got = partition.centroids(R.items(spark, sf)).select("pid", "vec").toPandas().sort_values("pid")
+    got = partition.held_centroids(partition.centroids(R.items(spark, sf))).to_pandas()
     held = spark.sparkContext.broadcast((got["pid"].to_numpy(), np.stack(got["vec"])))
 
     def run(batches):
@@ -226,19 +226,19 @@ def semantic_reach(spark, sf):
 @query("budget_matched")
 def budget_matched(spark, sf):
     """Half of the budget by vectors, half by the graph: one hop, then two, by similarity."""
-    d = topk(R.asked(spark, sf), R.items(spark, sf), 1 << 30, "unit", exclude_self=True)
-    e = R.id_links(spark, sf)
-    r = graph.reach(d.where("rnk <= 5").select("query_id", F.col("doc_id").alias("node")), e, 2).where("hop > 0")
+    d = R.dense(spark, sf, 50)  # as many as the whole budget
+    reached = graph.reach(d.where("rnk <= 5").select("query_id", F.col("doc_id").alias("node")), R.id_links(spark, sf), 2).where("hop > 0")
     from pyspark.sql import Window as W
 
-    g = r.select("query_id", F.col("node").alias("doc_id"), "hop").join(d, ["query_id", "doc_id"])
+    g = R.scored(spark, sf, reached.select("query_id", F.col("node").alias("doc_id"), "hop").where("doc_id <> query_id"))
     g = g.withColumn("rnk", F.row_number().over(W.partitionBy("query_id").orderBy("hop", F.desc("score"), "doc_id")).cast("long"))
     return fusion.tiers([(d, 25), (g, None), (d, None)], 50)
 
 
 @query("learned_gate")
 def learned_gate(spark, sf):
-    """A learned fusion gate: logistic regression on reciprocal ranks, MLlib, of gold or not."""
+    """A learned fusion gate: logistic regression on reciprocal ranks, MLlib, of gold or not. It is
+    fitted on the queries of one half, told by a hash, and ranks those of the other."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -246,10 +246,11 @@ def learned_gate(spark, sf):
     rr = lambda n: own[n].select("query_id", "doc_id", (1.0 / (60 + F.col("rnk"))).alias(n))
     f = rr("dense").join(rr("sign"), ["query_id", "doc_id"], "full_outer").fillna(0.0).join(R.golds(spark, sf).withColumn("y", F.lit(1.0)), ["query_id", "doc_id"], "left").fillna(0.0, ["y"])
     x = VectorAssembler(inputCols=["dense", "sign"], outputCol="features").transform(f)
-    model = LogisticRegression(labelCol="y", maxIter=20, regParam=0.01).fit(x)
+    half = F.pmod(F.xxhash64("query_id"), F.lit(2))
+    model = LogisticRegression(labelCol="y", maxIter=20, regParam=0.01).fit(x.where(half == 0))
     from pyspark.ml.functions import vector_to_array
 
-    s = model.transform(x).select("query_id", "doc_id", F.round(vector_to_array("probability")[1], 6).alias("score"))
+    s = model.transform(x.where(half == 1)).select("query_id", "doc_id", F.round(vector_to_array("probability")[1], 6).alias("score"))
     from evigraph.functions.vector import ranked
 
     return ranked(s, 50)
