@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: ASCII punctuation, as a character class.
 PUNCT = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
@@ -28,13 +29,13 @@ def normal_answer(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\b(a|an|the)\b", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(c: pd.Series) -> pd.Series:
     """Compatibility form (NFKC), which the JVM's functions lack."""
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(c: pd.Series) -> pd.Series:
     """Compatibility form without case: NFKC and full case folding."""
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()))

@@ -141,21 +141,28 @@ def triangles(edges: DataFrame) -> DataFrame:
     return deg.join(corner, "node", "left").select("node", "degree", t.alias("triangles"), F.when(pairs > 0, F.round(t / pairs, 6)).otherwise(0.0).alias("clustering"))
 
 
-def connected_sets(members: DataFrame, edges: DataFrame, golds: DataFrame, rounds: int = 8) -> DataFrame:
+def connected_sets(members: DataFrame, edges: DataFrame, golds: DataFrame, most: int = 60) -> DataFrame:
     """``(query_id, covered, connected)``: whether a query's retrieved set holds all its golds, and
     whether they lie in one component of the graph induced on the set.
 
-    Least labels spread inside each set; ``rounds`` covers paths of 2**rounds by pointer jumping."""
+    Least labels spread inside each set, with pointer jumping, until none changes: about as many
+    rounds as the logarithm of the longest path, ``most`` at the utmost."""
     m = members.select("query_id", F.col("doc_id").alias("node")).distinct()
     inner = m.join(edges, m["node"] == edges["src"]).select("query_id", "src", "dst")
     inner = inner.join(m.withColumnRenamed("node", "dst"), ["query_id", "dst"], "left_semi")
     inner = cut(inner.distinct())
     lab = m.withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    for _ in range(most):
+        before = lab
         near = inner.join(lab.withColumnRenamed("node", "src"), ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node")).agg(F.min("label").alias("l"))
         low = lab.join(near, ["query_id", "node"], "left").select("query_id", "node", F.least("label", F.coalesce("l", "label")).alias("label"))
         jump = low.select("query_id", F.col("node").alias("label"), F.col("label").alias("l2"))
         lab = cut(low.join(jump, ["query_id", "label"], "left").select("query_id", "node", F.least("label", F.coalesce("l2", "label")).alias("label")))
+        moved = lab.join(before.withColumnRenamed("label", "was"), ["query_id", "node"]).where("label <> was")
+        if moved.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"labels did not settle in {most} rounds")
     g = golds.select("query_id", F.col("doc_id").alias("node")).distinct().join(lab, ["query_id", "node"], "left")
     return g.groupBy("query_id").agg(
         F.bool_and(F.col("label").isNotNull()).alias("covered"),

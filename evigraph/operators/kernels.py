@@ -32,13 +32,15 @@ def dijkstra(adj: dict[str, list[tuple[str, float]]], sources: list[str]) -> dic
     return dist
 
 
-def bridge(nodes: list[str], rel: dict[str, float], adj: dict[str, list[str]], seeds: list[str], anchors: list[str], missing: float = 9.9) -> dict[str, float]:
+def bridge(nodes: list[str], rel: dict[str, float], adj: dict[str, list[str]], sim, seeds: list[str], anchors: list[str], missing: float = 9.9) -> dict[str, float]:
     """Bidirectional bridge scores: half the scaled relevance, half 1 / (1 + cost from the seeds +
-    cost from the anchors); an edge costs max(1 - relevance of its end, 1e-4)."""
-    cost = {x: [(y, max(1.0 - rel.get(y, 0.0), 1e-4)) for y in ys] for x, ys in adj.items()}
-    a, b = dijkstra(cost, seeds), dijkstra(cost, anchors)
+    cost from the anchors); an edge costs max(1 - sim of its two ends, 1e-4), and paths stay among
+    ``nodes``."""
+    inside = set(nodes)
+    cost = {x: [(y, max(1.0 - sim(x, y), 1e-4)) for y in adj.get(x, []) if y in inside] for x in nodes}
+    a, b = dijkstra(cost, [s for s in seeds if s in inside]), dijkstra(cost, anchors)
     lo, hi = min(rel[n] for n in nodes), max(rel[n] for n in nodes)
-    return {n: 0.5 * ((rel[n] - lo) / (hi - lo) if hi > lo else 1.0) + 0.5 / (1.0 + a.get(n, missing) + b.get(n, missing)) for n in nodes}
+    return {n: 0.5 * ((rel[n] - lo) / (hi - lo) if hi > lo else 0.0) + 0.5 / (1.0 + a.get(n, missing) + b.get(n, missing)) for n in nodes}
 
 
 def cover_greedy(ids: list, rel: np.ndarray, vecs: np.ndarray, k: int, gamma: float = 0.35, stop: float = 0.02) -> list:
@@ -59,52 +61,95 @@ def cover_greedy(ids: list, rel: np.ndarray, vecs: np.ndarray, k: int, gamma: fl
     return [ids[i] for i in chosen]
 
 
-def spread_greedy(ids: list[str], rel: dict[str, float], adj: Adjacency, k: int, penalty: float = 0.15) -> list[str]:
-    """Relevance less a penalty for every chosen neighbour."""
-    hit: dict[str, int] = defaultdict(int)
-    left, out = sorted(ids), []
-    while left and len(out) < k:
-        x = max(left, key=lambda n: (round(rel[n] - penalty * hit[n], 9), [-ord(c) for c in n]))
-        left.remove(x)
+def spread_greedy(ids: list[str], mass: dict[str, float], adj: Adjacency, k: int, penalty: float = 0.5) -> list[str]:
+    """PageRank mass, scaled by its largest, less a penalty for every chosen neighbour; ties go to the
+    smaller id."""
+    most = max((mass[n] for n in ids), default=0.0) or 1.0
+    score = {n: mass[n] / most for n in ids}
+    heap = [(-round(score[n], 9), n) for n in sorted(ids)]
+    heapq.heapify(heap)
+    out: list[str] = []
+    while heap and len(out) < k:
+        s, x = heapq.heappop(heap)
+        if x not in score or -s > round(score[x], 9):
+            continue  # it was penalised since
         out.append(x)
+        del score[x]
         for y in adj.get(x, []):
-            hit[y] += 1
+            if y in score:
+                score[y] -= penalty
+                heapq.heappush(heap, (-round(score[y], 9), y))
     return out
 
 
-def best_first(adj: Adjacency, rel: dict[str, float], seeds: list[str], budget: int = 200, alpha: float = 0.5, window: int = 15, floor: float = 0.15, explore: int = 25) -> list[tuple[str, int, str | None, float, str]]:
+def best_first(
+    adj: Adjacency, rel: dict[str, float], seeds: list[str], budget: int = 200, alpha: float = 0.5, window: int = 15, floor: float = 0.15, explore: int = 25,
+    covers: dict[str, list[str]] | None = None, entities: set[str] | frozenset[str] = frozenset(), reader=None,
+) -> list[tuple[str, int, str | None, float, str]]:
     """Bounded best-first search: ``(node, depth, parent, priority, stop)`` in order of expansion.
 
-    A child's priority is alpha times its parent's plus (1 - alpha) times its own relevance, floored
-    at 0. ``stop`` names, on the row where it happens, why the search may end: ``saturated`` once the
-    mean relevance of the last ``window`` nodes is under ``floor`` after ``explore`` nodes, else
-    ``budget`` on the last row of a full budget."""
-    heap, n, seen = [], 0, set()
-    for s in seeds:
-        heapq.heappush(heap, (-max(rel.get(s, 0.0), 0.0), n, s, 0, None))
-        n += 1
+    A seed's priority is its relevance, 1e-3 at least; a child's is alpha times that of the node it is
+    reached from plus (1 - alpha) times its own relevance, floored at 0. Parent and depth are those of
+    the first discovery. The search isn't cut short: ``stop`` names, on the row where each first
+    holds, once ``explore`` nodes are expanded, why it may end: ``entity_coverage``, every one of
+    ``entities`` is in ``covers`` of an expanded node that is no seed; ``anchor_meet``, the lineages of
+    two seeds met in a node that is no seed; ``marginal_saturation``, a full window of ``window`` nodes
+    has no relevance of ``floor``; ``reader_sufficiency``, ``reader(order)`` says so; ``budget``, on
+    the last row of a full budget of a search without another reason."""
+    start = set(seeds)
+    heap = [(-max(rel.get(s, 0.0), 1e-3), s) for s in seeds]
+    heapq.heapify(heap)
+    parent: dict[str, str | None] = {s: None for s in seeds}
+    line: dict[str, int] = {s: i for i, s in enumerate(seeds)}
+    depth = dict.fromkeys(seeds, 0)
     out: list[tuple[str, int, str | None, float, str]] = []
+    seen: set[str] = set()
+    order: list[str] = []
     last: list[float] = []
-    done = False
+    covered: set[str] = set()
+    meet, fired = False, set()
     while heap and len(out) < budget:
-        p, _, x, depth, parent = heapq.heappop(heap)
+        p, x = heapq.heappop(heap)
         if x in seen:
             continue
         seen.add(x)
-        last = (last + [max(rel.get(x, 0.0), 0.0)])[-window:]
-        why = ""
-        if not done and len(out) + 1 >= explore and sum(last) / len(last) < floor:
-            why, done = "saturated", True
-        if not why and len(out) + 1 == budget:
-            why = "budget"
-        out.append((x, depth, parent, -p, why))
+        order.append(x)
+        if x not in start:
+            covered.update(e for e in (covers or {}).get(x, []) if e in entities)
+        last = (last + [rel.get(x, 0.0)])[-window:]
+        why = []
+        if len(order) >= explore:
+            why = [
+                name for name, holds in (
+                    ("entity_coverage", bool(entities) and entities <= covered),
+                    ("anchor_meet", meet),
+                    ("marginal_saturation", len(last) == window and max(last) < floor),
+                    ("reader_sufficiency", reader is not None and "reader_sufficiency" not in fired and reader(order)),
+                ) if holds and name not in fired
+            ]
+            fired.update(why)
+        if not fired and len(order) == budget:
+            why = ["budget"]
+        out.append((x, depth[x], parent[x], -p, "+".join(why)))
         for y in sorted(adj.get(x, [])):
-            if y not in seen:
-                heapq.heappush(heap, (-(alpha * -p + (1 - alpha) * max(rel.get(y, 0.0), 0.0)), n, y, depth + 1, x))
-                n += 1
+            if y in seen:
+                continue
+            heapq.heappush(heap, (-(alpha * -p + (1 - alpha) * max(rel.get(y, 0.0), 0.0)), y))
+            if y not in parent:
+                parent[y], line[y], depth[y] = x, line[x], depth[x] + 1
+            elif y not in start and line[y] != line[x]:
+                meet = True
     return out
 
 
+def path_to(parents: dict[str, str | None], node: str) -> list[str]:
+    """From the seed to a node, by parents."""
+    out = [node]
+    while parents.get(out[-1]) is not None:
+        out.append(parents[out[-1]])
+    return out[::-1]
+
+
 def min_cover(choices: list[set[int]], budget: int) -> tuple[bool, list[int]]:
     """Greedy cover of golds, each by any of its partitions, with at most ``budget`` partitions; ties
     go to the smaller partition."""
@@ -124,23 +169,22 @@ def min_cover(choices: list[set[int]], budget: int) -> tuple[bool, list[int]]:
 
 def soar(x: np.ndarray, centroids: np.ndarray, m: int) -> np.ndarray:
     """m partitions of each row: the nearest centroid, then each time the one nearest to the residual
-    after the chosen centroids' directions are taken out (Gram-Schmidt)."""
+    after the chosen centroids' directions are taken out (Gram-Schmidt), all rows at once."""
+    r = x.astype(float).copy()
+    rows = np.arange(len(x))
     out = np.empty((len(x), m), np.int64)
-    for i, v in enumerate(x):
-        r, basis, taken = v.astype(float).copy(), [], []
-        for j in range(m):
-            s = np.round(centroids @ r, 9)
-            s[taken] = -np.inf
-            c = int(np.argmax(s))
-            out[i, j] = c
-            taken.append(c)
-            b = centroids[c].astype(float).copy()
-            for e in basis:
-                b -= (b @ e) * e
-            n = np.linalg.norm(b)
-            if n > 1e-12:
-                basis.append(b / n)
-                r -= (r @ basis[-1]) * basis[-1]
+    basis: list[np.ndarray] = []
+    for j in range(m):
+        s = np.round(r @ centroids.T, 9)
+        s[rows[:, None], out[:, :j]] = -np.inf
+        out[:, j] = s.argmax(axis=1)
+        b = centroids[out[:, j]].astype(float).copy()
+        for e in basis:
+            b -= np.einsum("ij,ij->i", b, e)[:, None] * e
+        n = np.sqrt(np.einsum("ij,ij->i", b, b))[:, None]
+        b = np.where(n > 1e-12, b / np.maximum(n, 1e-12), 0.0)
+        basis.append(b)
+        r -= np.einsum("ij,ij->i", r, b)[:, None] * b
     return out
 
 
@@ -160,7 +204,8 @@ def kmeans(x: np.ndarray, c: int, rounds: int = 10) -> np.ndarray:
 
 
 class Agent:
-    """Think-act-observe traversal of one query over a bounded graph, with partition gates."""
+    """Think-act-observe traversal of one query over a bounded graph, with partition gates. Its
+    numbers are fixed values."""
 
     STEPS, BEAM, PUSH, SELECT, ADMIT, DYNAMIC, SLICE, LEAST, MOST = 20, 50, 8, 0.30, 0.35, 3, 5, 3, 10
 
@@ -241,13 +286,13 @@ class Agent:
 
 
 def neighbourhoods(seeds: DataFrame, edges: DataFrame, hops: int, cap: int = 2500) -> DataFrame:
-    """``(query_id, node, hop, out ARRAY)``: each query's ball, cut by PageRank mass, with all
+    """``(query_id, node, hop, mass, out ARRAY)``: each query's ball, cut by PageRank mass, with all
     neighbours inside it, the bounded input of the kernels."""
     from evigraph.operators.graph import ball as bounded
     from evigraph.session import cut
 
     e = cut(edges)
-    ball = cut(bounded(seeds, e, hops, cap).drop("mass"))
+    ball = cut(bounded(seeds, e, hops, cap))
     inner = ball.select("query_id", F.col("node").alias("src")).join(e, "src").join(ball.select("query_id", F.col("node").alias("dst")), ["query_id", "dst"], "left_semi")
     out = inner.groupBy("query_id", F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("out"))  # at most the ball
     return ball.join(out, ["query_id", "node"], "left")

@@ -233,7 +233,7 @@ def subgraph_edges(spark, sf):
     return e.where("pid = b").select("pid", "src", "dst")
 
 
-@query("graph_components", None)
+@query("graph_components", f"with recursive {BASE}, rc(a, b) as (select src, dst from ed union select rc.a, ed.dst from rc join ed on ed.src = rc.b) select a as node, min(b) as root from rc group by 1")
 def graph_components(spark, sf):
     """Connected components of the corpus graph, the smallest id as the name."""
     from evigraph.operators.components import components

@@ -81,11 +81,28 @@ def _pairs(spark, sf) -> DataFrame:
     return a.select("id", "system", "question", F.coalesce("em", F.lit(0)).alias("em"))
 
 
-@query("paired_compare", f"with {R}, {ANS}, q as (select system, question as pair, max(coalesce(em, 0)) as v from an join r using (id) group by 1, 2), a as (select * from q where system = 'crag'), b as (select * from q where system = 'bm25_reader') select count(*) filter (where a.v is not null and b.v is not null)::BIGINT as pairs, count(*) filter (where (a.v is null) <> (b.v is null))::BIGINT as unpaired, count(*) filter (where a.v > b.v)::BIGINT as wins, count(*) filter (where a.v = b.v)::BIGINT as ties, count(*) filter (where a.v < b.v)::BIGINT as losses, round(avg(a.v - b.v), 6) as difference from a full join b on a.pair = b.pair")
+_TWO = "tw as (select system, row_number() over (order by count(*) desc, system) as place from r where system is not null group by system qualify place <= 2)"
+
+
+@query("paired_compare", f"with {R}, {ANS}, {_TWO}, q as (select place, question as pair, max(coalesce(em, 0)) as v from an join r using (id) join tw using (system) where question is not null group by 1, 2), a as (select * from q where place = 1), b as (select * from q where place = 2) select count(*)::BIGINT as pairs, 0::BIGINT as unpaired, count(*) filter (where a.v > b.v)::BIGINT as wins, count(*) filter (where a.v = b.v)::BIGINT as ties, count(*) filter (where a.v < b.v)::BIGINT as losses, round(avg(a.v - b.v), 6) as difference from a join b on a.pair = b.pair")
 def paired_compare(spark, sf):
-    """Two systems on the questions that both answered."""
-    q = _pairs(spark, sf).groupBy("system", F.col("question").alias("pair")).agg(F.max("em").alias("v"))
-    return contract.compare(q.where("system = 'crag'"), q.where("system = 'bm25_reader'"), "v").drop("p")
+    """The two systems with most rows (ties: by name), on the questions that both answered."""
+    top = runs(spark, sf, "system").where("system is not null").groupBy("system").count().orderBy(F.desc("count"), "system").limit(2).collect()
+    q = _pairs(spark, sf).where("question is not null").groupBy("system", F.col("question").alias("pair")).agg(F.max("em").alias("v"))
+    first, second = (q.where(F.col("system") == r["system"]) for r in top)
+    common = first.select("pair").intersect(second.select("pair"))
+    return contract.compare(first.join(common, "pair", "left_semi"), second.join(common, "pair", "left_semi"), "v").drop("p")
+
+
+@query("frozen_fields", f"with {R}, {_TWO}, x as (select system, question as pair, min(answers) as answers from r where question is not null group by 1, 2), a as (select x.* from x join tw using (system) where place = 1), b as (select x.* from x join tw using (system) where place = 2), j as (select a.pair as pa, b.pair as pb, a.answers as xa, b.answers as xb from a full join b on a.pair = b.pair) select case when pb is null then 'only in the first' when pa is null then 'only in the second' else 'answers differs' end as problem, count(*)::BIGINT as questions from j where pb is null or pa is null or xa is distinct from xb group by 1")
+def frozen_fields(spark, sf):
+    """Why the two largest systems' runs can't be paired as they are: questions of one only, and
+    questions with other answers."""
+    r = runs(spark, sf, "system", "question", "answers")
+    top = r.where("system is not null").groupBy("system").count().orderBy(F.desc("count"), "system").limit(2).collect()
+    x = r.where("question is not null").groupBy("system", F.col("question").alias("pair")).agg(F.min("answers").alias("answers"))
+    first, second = (x.where(F.col("system") == s["system"]) for s in top)
+    return contract.differing(first, second, "pair").groupBy("problem").agg(F.count(F.lit(1)).alias("questions"))
 
 
 @query("mcnemar", f"""with {R}, {ANS}, o as (select system, (em = 1)::INT as x, (answers is not null and len(supporting_document_ids) = len(list_intersect(supporting_document_ids, coalesce(retrieved_document_ids, []))))::INT as y from an join r using (id) where em is not null), c as (select system, count(*) filter (where x > y)::BIGINT as b, count(*) filter (where x < y)::BIGINT as c from o group by system)
@@ -100,12 +117,19 @@ def mcnemar_query(spark, sf):
     return c.withColumn("p", F.round(mcnemar(F.col("b"), F.col("c")), 6))
 
 
-@query("bootstrap_ci")
+_DIGIT = "(strpos('0123456789abcdef', substr(h, {at}, 1)) - 1)"
+_HASHES = lambda seed, n: " || ".join(f"md5('{seed}:{i}:' || id)" for i in range(n))
+_BYTE = f"(16 * {_DIGIT.format(at='2 * j + 1')} + {_DIGIT.format(at='2 * j + 2')})"
+
+
+@query("bootstrap_ci", f"""with {R}, {ANS}, x as (select id, system, coalesce(em, 0)::DOUBLE as v, {_HASHES(7, 13)} as h from an join r using (id)), w as (select system, v, j, (select count(*) from (values (94), (188), (235), (251), (255)) t(t) where t.t <= {_BYTE}) as n from x, range(200) d(j)),
+    m as (select system, j, sum(v * n) / sum(n) as m from w group by 1, 2) select system, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m group by 1""")
 def bootstrap_ci(spark, sf):
     return contract.bootstrap(_pairs(spark, sf).select("id", "system", "em"), ["system"], "em")
 
 
-@query("sign_flip_p")
+@query("sign_flip_p", f"""with {R}, {ANS}, x as (select (em - f1)::DOUBLE as d, {_HASHES(11, 4)} as h from an where em is not null), o as (select abs(sum(d)) as o from x),
+    f as (select j, abs(sum(d * (2 * (({_DIGIT.format(at='j // 4 + 1')} >> (3 - j % 4)) & 1) - 1))) as s from x, range(500) r(j) group by 1) select round((count(*) filter (where s >= o - 1e-9) + 1) / 501, 6) as p from f, o""")
 def sign_flip_p(spark, sf):
     a = answer_em_f1(spark, sf).where("em is not null")
     return contract.sign_flip(a.select("id", (F.col("em") - F.col("f1")).alias("d")), "d")

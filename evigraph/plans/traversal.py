@@ -22,20 +22,24 @@ BUDGET = 200  # nodes that a best-first search expands
 
 def _relevance(spark, sf, pairs: DataFrame) -> DataFrame:
     """``pairs`` with the share of question words that a node's title has, a stand-in for a dense
-    score, and the node's source."""
-    from evigraph.functions.text import alnum
+    score, the title's words, the node's source, the entities that the question names and those of
+    them that the node's content has."""
+    from evigraph.functions.text import alnum, decompose
 
     n = N.nodes(spark, sf, "title", "content", "source")
-    q = n.select(F.col("node_id").alias("query_id"), F.array_distinct(alnum(F.col("content"))).alias("qw"))
-    d = n.select(F.col("node_id").alias("node"), F.array_distinct(alnum(F.col("title"))).alias("tw"), "source")
+    named = F.transform(F.slice(decompose(F.coalesce("content", F.lit(""))), 2, 1 << 30), F.lower)
+    q = n.select(F.col("node_id").alias("query_id"), F.array_distinct(alnum(F.col("content"))).alias("qw"), named.alias("entities"))
+    q = q.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
+    d = n.select(F.col("node_id").alias("node"), F.array_distinct(alnum(F.col("title"))).alias("tw"), "source", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
     rel = F.when(F.size("tw") > 0, F.size(F.array_intersect("qw", "tw")) / F.size("tw")).otherwise(0.0)
-    return pairs.join(q, "query_id").join(d, "node").withColumn("rel", F.round(rel, 6)).drop("qw", "tw")
+    both = pairs.join(q, "query_id").join(d, "node").withColumn("rel", F.round(rel, 6))
+    return both.withColumn("covers", F.filter("entities", lambda e: F.col("low").contains(e))).drop("qw", "low")
 
 
 def _balls(spark, sf) -> DataFrame:
     """Two-hop neighbourhoods of the traversals' questions with relevance."""
     ball = kernels.neighbourhoods(N.seeds(spark, sf), N.edges(spark, sf), 2)
-    return _relevance(spark, sf, ball).select("query_id", "node", "hop", "out", "source", "rel")
+    return _relevance(spark, sf, ball).select("query_id", "node", "hop", "mass", "out", "source", "rel", "tw")
 
 
 def _parts(pdf):
@@ -53,25 +57,28 @@ def best_first(spark, sf):
 
     def fetched(need: DataFrame) -> DataFrame:
         step = need.join(e.withColumnRenamed("src", "node"), "node").select("query_id", F.col("node").alias("src"), F.col("dst").alias("node"))
-        near = _relevance(spark, sf, step).groupBy("query_id", F.col("src").alias("node")).agg(F.collect_list(F.struct(F.col("node").alias("n"), "rel")).alias("out"))
+        near = _relevance(spark, sf, step).groupBy("query_id", F.col("src").alias("node")).agg(F.collect_list(F.struct(F.col("node").alias("n"), "rel", "covers")).alias("out"))
         return need.join(near, ["query_id", "node"], "left")
 
     def kernel(pdf):
-        adj, rel = {}, {}
+        adj, rel, covers = {}, {}, {}
         for r in pdf.itertuples():
             out = [] if r.out is None else r.out
             adj[r.node] = [x["n"] for x in out]
             rel.update((x["n"], x["rel"]) for x in out)
+            covers.update((x["n"], list(x["covers"])) for x in out)
         own = pdf.loc[pdf["seed"].notna()]
         rel.update(zip(own["node"], own["seed"]))
-        got = kernels.best_first(adj, rel, sorted(own["node"]), BUDGET)
-        return [(pdf["query_id"][0], i, x, d, p, s, w, x in adj) for i, (x, d, p, s, w) in enumerate(got)]
+        entities = {e for x in own["entities"] for e in x}
+        got = kernels.best_first(adj, rel, sorted(own["node"]), BUDGET, covers=covers, entities=entities)
+        parents = {x: p for x, _, p, _, _ in got}
+        return [(pdf["query_id"][0], i, x, d, p, s, w, ">".join(kernels.path_to(parents, x)), x in adj) for i, (x, d, p, s, w) in enumerate(got)]
 
-    start = _relevance(spark, sf, N.seeds(spark, sf)).select("query_id", "node", F.col("rel").alias("seed"))
+    start = _relevance(spark, sf, N.seeds(spark, sf)).select("query_id", "node", F.col("rel").alias("seed"), "entities")
     known = cut(fetched(start))
     while True:
-        trace = cut(kernels.per_query(known, kernel, "query_id string, step long, node string, depth long, parent string, priority double, stop string, known boolean"))
-        need = trace.where("not known").select("query_id", "node", F.lit(None).cast("double").alias("seed"))
+        trace = cut(kernels.per_query(known, kernel, "query_id string, step long, node string, depth long, parent string, priority double, stop string, path string, known boolean"))
+        need = trace.where("not known").select("query_id", "node", F.lit(None).cast("double").alias("seed"), F.lit(None).cast("array<string>").alias("entities"))
         if need.isEmpty():
             return trace.drop("known")
         known = cut(known.unionByName(fetched(need)))
@@ -79,10 +86,18 @@ def best_first(spark, sf):
 
 @query("bridge")
 def bridge(spark, sf):
+    """Two nodes are as alike as the words of their titles, by the cosine."""
+
     def kernel(pdf):
         adj, rel, seeds = _parts(pdf)
+        words = {n: set(w) for n, w in zip(pdf["node"], pdf["tw"])}
         anchors = sorted(pdf["node"], key=lambda n: (-rel[n], n))[:ANCHORS]
-        got = kernels.bridge(list(pdf["node"]), rel, adj, seeds, anchors)
+
+        def sim(a, b):
+            x, y = words[a], words[b]
+            return len(x & y) / (len(x) * len(y)) ** 0.5 if x and y else 0.0
+
+        got = kernels.bridge(list(pdf["node"]), rel, adj, sim, seeds, anchors)
         return [(pdf["query_id"][0], n, round(s, 6)) for n, s in got.items()]
 
     return kernels.per_query(_balls(spark, sf), kernel, "query_id string, node string, score double")
@@ -91,8 +106,9 @@ def bridge(spark, sf):
 @query("cover_graph")
 def cover_graph(spark, sf):
     def kernel(pdf):
-        adj, rel, _ = _parts(pdf)
-        return [(pdf["query_id"][0], i, n) for i, n in enumerate(kernels.spread_greedy(list(pdf["node"]), rel, adj, PICKS))]
+        adj, _, _ = _parts(pdf)
+        mass = dict(zip(pdf["node"], pdf["mass"]))
+        return [(pdf["query_id"][0], i, n) for i, n in enumerate(kernels.spread_greedy(list(pdf["node"]), mass, adj, PICKS))]
 
     return kernels.per_query(_balls(spark, sf), kernel, "query_id string, place long, node string")
 
@@ -131,7 +147,12 @@ def cover_greedy(spark, sf):
     return kernels.per_query(d, kernel, "query_id long, place long, node long")
 
 
-@query("min_cover")
+_PICK = "p{i} as (select query_id, arg_min(pid, struct_pack(n := -n, pid := pid)) as pid from (select query_id, pid, count(distinct node) as n from o{j} group by 1, 2) group by 1), o{i} as (select o.* from o{j} o where not exists (select 1 from o{j} x join p{i} p using (query_id, pid) where x.query_id = o.query_id and x.node = o.node))"
+
+
+@query("min_cover", f"""with {R.E}, {R.GOLD}, {R.ONEHOP}, o0 as (select g.query_id, g.doc_id as node, m.pid from gold g join m1 m using (doc_id)), {", ".join(_PICK.format(i=i, j=i - 1) for i in (1, 2, 3))},
+    pk as (select query_id, string_agg(pid::VARCHAR, ',' order by i) as picked from (select *, 1 as i from p1 union all select *, 2 from p2 union all select *, 3 from p3) group by 1)
+    select q.query_id, q.query_id not in (select query_id from o3) as covered, picked from (select distinct query_id from o0) q left join pk using (query_id)""")
 def min_cover(spark, sf):
     """Whether the golds' partitions can be covered with three picks."""
     g = R.golds(spark, sf).join(R.member_onehop(spark, sf), "doc_id").select("query_id", F.col("doc_id").alias("node"), "pid")
@@ -188,7 +209,11 @@ def relation_offsets(spark, sf):
     return model.transform(d).groupBy(F.col("prediction").cast("long").alias("relation")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("appnp")
+_PT = R.MIRROR + ", tp as (select src, dst, 1.0 / count(*) over (partition by src) as p from ed), x as (select doc_id as node, i - 1 as d, v[i] as x from u, range(1, 65) r(i))"
+
+
+@query("appnp", f"""with {R.U}, {_PT}, h1 as (select node, d, sum(x) as x from (select tp.src as node, x.d, 0.5 * tp.p * x.x as x from tp join x on x.node = tp.dst union all select node, d, 0.5 * x from x) group by 1, 2),
+    h2 as (select node, d, sum(x) as x from (select tp.src as node, h1.d, 0.5 * tp.p * h1.x as x from tp join h1 on h1.node = tp.dst union all select node, d, 0.5 * x from x) group by 1, 2) select node, d::BIGINT as d, round(x, 6) as x from h2""")
 def appnp(spark, sf):
     """Two diffusion steps of the vectors over the partition chains."""
     p = graph.transition(R.chain_edges(spark, sf))
@@ -197,7 +222,11 @@ def appnp(spark, sf):
     return h.select("node", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
 
 
-@query("random_walks")
+_STEP = "w{i} as (select w.query_id, w.start, arg_min(ed.dst, md5('13:{i}:' || w.query_id || ':' || ed.dst)) as node from w{j} w join ed on ed.src = w.node group by 1, 2)"
+_WALK = ", ".join(_STEP.format(i=i, j=i - 1) for i in range(1, 4))
+
+
+@query("random_walks", f"with {N.BASE}, w0 as (select query_id, node as start, node from se), {_WALK} " + " union all ".join(f"select query_id, start, node, {i} as step from w{i}" for i in range(4)))
 def random_walks(spark, sf):
     """Three seeded steps from every question's golds: the next node is, of all neighbours, the one of
     the smallest hash of (seed, step, query, node)."""
@@ -205,13 +234,17 @@ def random_walks(spark, sf):
     at = N.seeds(spark, sf).select("query_id", F.col("node").alias("start"), "node", F.lit(0).alias("step"))
     out = at
     for i in range(1, 4):
-        go = at.join(e, at["node"] == e["src"]).groupBy("query_id", "start").agg(F.min_by("dst", F.xxhash64(F.lit(13), F.lit(i), "query_id", "dst")).alias("node"))
+        go = at.join(e, at["node"] == e["src"]).groupBy("query_id", "start").agg(F.min_by("dst", F.md5(F.concat(F.lit(f"13:{i}:"), "query_id", F.lit(":"), "dst"))).alias("node"))
         at = go.select("query_id", "start", "node", F.lit(i).alias("step"))
         out = out.unionByName(at)
     return out
 
 
-@query("semantic_reach")
+_FIVE = R.U + ", " + R._list("dense", "u", 5)
+_FAR = f"far as (select q, doc_id from (select a.doc_id as q, b.doc_id, row_number() over (partition by a.doc_id order by round(list_dot_product(a.v, b.v), 6) desc, b.doc_id) as r from u a, u b where a.doc_id <> b.doc_id and a.doc_id in (select doc_id from dense)) where r <= 5)"
+
+
+@query("semantic_reach", f"with {_FIVE}, {_FAR} select query_id, doc_id, min(hop) as hop from (select query_id, doc_id, 1 as hop from dense union all select d.query_id, far.doc_id, 2 from dense d join far on far.q = d.doc_id) where query_id <> doc_id group by 1, 2")
 def semantic_reach(spark, sf):
     """Implicit traversal: the five nearest of the five nearest, by vectors alone."""
     d = R.dense(spark, sf, 5)
@@ -223,7 +256,13 @@ def semantic_reach(spark, sf):
     return one.unionByName(two).where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.min("hop").alias("hop"))
 
 
-@query("budget_matched")
+_TWO = f"""s5 as (select query_id, doc_id as node from dense where rnk <= 5), h1 as (select distinct s.query_id, e.dst as node from s5 s join lm e on e.src = s.node), h2 as (select distinct h.query_id, e.dst as node from h1 h join lm e on e.src = h.node),
+    hp as (select query_id, node, min(hop) as hop from (select *, 0 as hop from s5 union all select *, 1 from h1 union all select *, 2 from h2) group by 1, 2)"""
+
+
+@query("budget_matched", f"""with {R.DENSE}, {R.LINKS}, {_TWO}, g as (select h.query_id, s.doc_id, row_number() over (partition by h.query_id order by h.hop, s.score desc, s.doc_id) as rnk from hp h join dense_s s on s.query_id = h.query_id and s.doc_id = h.node where h.hop > 0),
+    t as (select query_id, doc_id, min(struct_pack(t := t, r := r)) as p from (select query_id, doc_id, 0 as t, rnk as r from dense where rnk <= 25 union all select query_id, doc_id, 1, rnk from g union all select query_id, doc_id, 2, rnk from dense) group by 1, 2)
+    select * from (select query_id, row_number() over (partition by query_id order by p.t, p.r, doc_id) as rnk, doc_id, p.t::BIGINT as tier from t) where rnk <= 50""")
 def budget_matched(spark, sf):
     """Half of the budget by vectors, half by the graph: one hop, then two, by similarity."""
     d = R.dense(spark, sf, 50)  # as many as the whole budget

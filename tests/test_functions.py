@@ -170,7 +170,71 @@ def test_text_functions(spark):
     r = df.select(text.triplets(F.col("t")).alias("t"), text.decompose(F.col("q")).alias("q"), text.sentences(F.col("s")).alias("s"), text.relation_label(F.col("r")).alias("r")).first()
     assert [tuple(x) for x in r.t] == [("Ann", "born in", "Rome")]
     assert r.q[0].startswith("Who") and {"the poet", "Ann Bo", "Carl"} <= set(r.q)
-    assert r.s == ["One.", "Two?", '"Three" four', "Five"] and r.r == "place of birth"
+    # a double blank anywhere parts the text there and nowhere else
+    assert r.s == ['One. Two? "Three" four', "Five"] and r.r == "place of birth"
+    one = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x"))).first()[0]
+    assert one(text.sentences, "First one.  Second one.") == ["First one.", "Second one."]
+    assert one(text.sentences, 'One. Two? "Three" four\tfive.\nno. 6') == ["One.", "Two?", '"Three" four five. no.', "6"]
+    assert one(text.sentences, None) == [] and one(text.sentences, " \r\n ") == []
+    assert one(text.decompose, "Are the University of Oxford and The Bank of the South (old) both in England?") == [
+        "Are the University of Oxford and The Bank of the South (old) both in England?", "the University of Oxford", "Bank of the South (old)", "England",
+    ]
+    assert one(text.decompose, "who directed the film [Big  Fish], Film or Al?") == ["who directed the film [Big  Fish], Film or Al?", "Big  Fish"]
+    assert one(lambda c: text.content_key(c, c), "ＡＢ  c") == one(lambda c: text.content_key(c, F.lit("AB c")), "ab C") != one(lambda c: text.content_key(c, F.lit("ab c")), "ab C")
+
+
+def test_paired_comparison_refuses_other_ids(spark):
+    a = spark.createDataFrame([("q1", 1.0), ("q2", 0.0)], "pair string, v double")
+    b = spark.createDataFrame([("q1", 0.0), ("q3", 0.0)], "pair string, v double")
+    with pytest.raises(ValueError, match="identical query IDs"):
+        contract.compare(a, b, "v")
+    assert contract.compare(a, b, "v", strict=False).first()[:5] == (1, 2, 1, 0, 0)
+    assert contract.compare(a, a, "v").first().ties == 2
+    x = spark.createDataFrame([("q1", "Q", ["A"]), ("q2", "Q", None)], "id string, question string, answers array<string>")
+    y = spark.createDataFrame([("q1", "Q", ["B"]), ("q3", "Q", None)], "id string, question string, answers array<string>")
+    assert {tuple(r) for r in contract.differing(x, y).collect()} == {("q1", "answers differs"), ("q2", "only in the first"), ("q3", "only in the second")}
+
+
+def test_connected_sets_settle_on_long_paths(spark):
+    n = 700
+    e = graph.mirror(spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(n)], "src string, dst string"))
+    m = spark.createDataFrame([("q", f"n{i:04d}") for i in range(n + 1)] + [("r", f"n{i:04d}") for i in range(n + 1) if i != 350], "query_id string, doc_id string")
+    g = spark.createDataFrame([(q, d) for q in "qr" for d in ("n0000", f"n{n:04d}")], "query_id string, doc_id string")
+    assert {r.query_id: (r.covered, r.connected) for r in graph.connected_sets(m, e, g).collect()} == {"q": (True, True), "r": (True, False)}
+
+
+def test_ranks_by_counting_equal_the_whole_ranking(spark):
+    import numpy as np
+
+    from evigraph.functions import vector
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(-1, 2, (60, 4)) + 0.5  # many ties
+    it = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, vec array<double>")
+    q = it.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    every = {(r.query_id, r.doc_id): r.rnk for r in vector.topk(q, it, 100, "unit", exclude_self=True).collect()}
+    pairs = spark.createDataFrame([k for k in every], "query_id long, doc_id long")
+    assert {(r.query_id, r.doc_id): r.rnk for r in vector.rank_of(q, it, pairs).collect()} == every
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    from evigraph.functions import vector
+
+    it = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(80)], "doc_id long, vec array<double>")
+    q = it.withColumnRenamed("doc_id", "query_id")
+    one = sorted(map(tuple, vector.topk(q, it, 3, "unit", exclude_self=True).collect()))
+    monkeypatch.setattr(vector, "BLOCK", 30)
+    assert sorted(map(tuple, vector.topk(q, it, 3, "unit", exclude_self=True).collect())) == one
+
+
+def test_partitions_in_blocks_give_the_same(spark, monkeypatch):
+    it = spark.createDataFrame([(i, i % 3 if i % 2 else 0, [float(i % 7), float(i % 5), 1.0]) for i in range(90)], "doc_id long, pid long, vec array<double>")
+    q = it.where("doc_id % 9 = 0").select(F.col("doc_id").alias("query_id"), "vec")
+    routed = q.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("pid"))
+    one = sorted(map(tuple, partition.scoped(q, routed, it, 5).collect()))
+    monkeypatch.setattr(partition, "ROWS", 10)
+    monkeypatch.setattr(partition, "ASKING", 4)
+    assert one and sorted(map(tuple, partition.scoped(q, routed, it, 5).collect())) == one
 
 
 def test_bootstrap_holds_the_mean(spark):

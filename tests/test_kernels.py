@@ -39,7 +39,7 @@ def test_dijkstra_equals_bellman_ford(seed):
 def test_best_first_expands_the_best_open_node(seed):
     nodes, adj, rel = small_graph(seed)
     out = K.best_first(adj, rel, nodes[:2], budget=10, explore=99)
-    prio = {s: max(rel[s], 0) for s in nodes[:2]}
+    prio = {s: max(rel[s], 1e-3) for s in nodes[:2]}
     seen = set()
     for x, _, parent, p, _ in out:
         assert p == pytest.approx(max(v for n, v in prio.items() if n not in seen))
@@ -50,6 +50,75 @@ def test_best_first_expands_the_best_open_node(seed):
     assert len(out) == len(seen) <= 10
 
 
+def test_best_first_names_each_reason_once():
+    adj = {"a": ["c", "x"], "b": ["c"], "c": ["a", "b", "d"], "d": ["c"], "x": ["a"]}
+    rel = {"a": 0.9, "b": 0.8, "c": 0.7, "d": 0.01, "x": 0.02}
+    out = K.best_first(adj, rel, ["a", "b"], explore=1, window=2, floor=0.1, covers={"c": ["e1"], "d": ["e2"], "a": ["e2"]}, entities={"e1", "e2"}, reader=lambda order: len(order) == 3)
+    assert [x for x, *_ in out] == ["a", "b", "c", "x", "d"]
+    stops = {x: s for x, _, _, _, s in out}
+    # c is found from a, then from b: the lines meet; a seed's own entity doesn't count
+    assert stops["c"] == "anchor_meet+reader_sufficiency" and stops["d"] == "entity_coverage+marginal_saturation" and not stops["a"]
+    parents = {x: p for x, _, p, _, _ in out}
+    assert K.path_to(parents, "d") == ["a", "c", "d"] and {x: d for x, d, *_ in out}["d"] == 2
+    # the largest of a full window, not its mean
+    high = K.best_first({"a": ["b"], "b": ["c"], "c": []}, {"a": 0.2, "b": 0.0, "c": 0.0}, ["a"], explore=1, window=2, floor=0.15)
+    assert [s for *_, s in high] == ["", "", "marginal_saturation"]
+    assert K.best_first(adj, rel, ["a"], budget=2)[-1][4] == "budget"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_bridge_equals_all_paths(seed):
+    nodes, adj, rel = small_graph(seed, 7, 9)
+    rng = random.Random(seed)
+    sims = {frozenset(p): rng.random() for p in itertools.combinations(nodes, 2)}
+    sim = lambda a, b: sims[frozenset((a, b))]
+
+    def cost(sources, target):
+        best = 0.0 if target in sources else 9.9
+        for n in range(2, 8):
+            for path in itertools.permutations(nodes, n):
+                if path[0] in sources and path[-1] == target and all(b in adj[a] for a, b in zip(path, path[1:])):
+                    best = min(best, sum(max(1 - sim(a, b), 1e-4) for a, b in zip(path, path[1:])))
+        return best
+
+    seeds, anchors = nodes[:1], nodes[-2:]
+    got = K.bridge(nodes, rel, adj, sim, seeds, anchors)
+    lo, hi = min(rel.values()), max(rel.values())
+    for x in nodes:
+        want = 0.5 * (rel[x] - lo) / (hi - lo) + 0.5 / (1 + cost(seeds, x) + cost(anchors, x))
+        assert got[x] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_spread_greedy_equals_scoring_all_anew(seed):
+    nodes, adj, mass = small_graph(seed)
+    out, left = [], sorted(nodes)
+    most = max(mass.values())
+    while left and len(out) < 9:
+        x = min(left, key=lambda n: (-round(mass[n] / most - 0.5 * sum(n in adj[c] for c in out), 9), n))
+        left.remove(x)
+        out.append(x)
+    assert K.spread_greedy(nodes, mass, adj, 9) == out
+
+
+def test_soar_equals_one_row_at_a_time():
+    rng = np.random.default_rng(0)
+    x, c = rng.standard_normal((40, 6)), rng.standard_normal((9, 6))
+    got = K.soar(x, c, 3)
+    for i, v in enumerate(x):
+        r, basis, taken = v.copy(), [], []
+        for j in range(3):
+            s = np.round(c @ r, 9)
+            s[taken] = -np.inf
+            taken.append(int(s.argmax()))
+            b = c[taken[-1]].copy()
+            for e in basis:
+                b -= (b @ e) * e
+            basis.append(b / np.linalg.norm(b))
+            r = r - (r @ basis[-1]) * basis[-1]
+        assert got[i].tolist() == taken
+
+
 def test_min_cover_finds_a_cover_where_one_partition_is_enough():
     assert K.min_cover([{1, 2}, {2, 3}, {2}], 1) == (True, [2])
     assert K.min_cover([{1}, {2}, {3}], 2)[0] is False
