@@ -113,6 +113,21 @@ def pagerank(seeds: DataFrame, p: DataFrame, alpha: float, iterations: int, walk
     return mass.withColumn("mass", F.round("mass", digits))
 
 
+def walk_inside(seeds: DataFrame, p: DataFrame, alpha: float, iterations: int, every: int = 3) -> DataFrame:
+    """``(query_id, node, mass)``: PageRank over a transition of each query's own, ``(query_id, src,
+    dst, p)``; mass' = (1 - alpha) s + alpha P mass. Joins are on the query and the node."""
+    total = W.partitionBy("query_id")
+    s = cut(seeds.withColumn("mass", F.col("w") / F.sum("w").over(total)).select("query_id", "node", "mass"))
+    base = s.withColumn("mass", F.col("mass") * (1 - alpha))
+    mass = s
+    for i in range(iterations):
+        moved = mass.withColumnRenamed("node", "src").join(p, ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node")).agg((F.sum(F.col("mass") * F.col("p")) * alpha).alias("mass"))
+        mass = moved.unionByName(base).groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
+        if (i + 1) % every == 0 and i + 1 < iterations:
+            mass = cut(mass)
+    return mass
+
+
 def diffuse(vectors: DataFrame, p: DataFrame, alpha: float, iterations: int) -> DataFrame:
     """APPNP: ``(node, d, x)`` with H' = (1-alpha) X + alpha A H over long-form vectors."""
     h = vectors

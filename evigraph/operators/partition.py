@@ -31,6 +31,31 @@ def chunks(df: DataFrame, key: str, target: int) -> DataFrame:
     return dense_rank_of(df, key).withColumn("pid", F.floor(F.col("idx") / target).cast("long")).drop("idx")
 
 
+def spread_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """``(node, label)``: every node starts as its own label and takes, round by round, the one most
+    of its neighbours have, of equal ones the smallest. A hub's neighbours are counted map-side."""
+    from evigraph.session import cut
+
+    lab = nodes.select("node", F.col("node").alias("label"))
+    for _ in range(rounds):
+        seen = edges.join(lab.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count(F.lit(1)).alias("n"))
+        best = seen.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("l"))
+        lab = cut(lab.join(best, "node", "left").select("node", F.coalesce("l", "label").alias("label")))
+    return lab
+
+
+def balanced(labels: DataFrame, target: int) -> DataFrame:
+    """``(node, pid)``: nodes laid label by label, cut into partitions of ``target``. Labels are counted
+    by range and each range is ranked by itself, so there is no global sort."""
+    span = labels.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    r = labels.withColumn("_g", F.floor((F.col("label") - lo) / max(1, (hi - lo) // RANGES + 1)))
+    sizes = r.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))  # RANGES rows at most
+    before = sizes.withColumn("_b", F.sum("_n").over(W.partitionBy().orderBy("_g")) - F.col("_n")).drop("_n")
+    at = F.row_number().over(W.partitionBy("_g").orderBy("label", "node")) - 1
+    return r.withColumn("_r", at).join(F.broadcast(before), "_g").select("node", F.floor((F.col("_r") + F.col("_b")) / target).cast("long").alias("pid"))
+
+
 def centroids(items: DataFrame, degree: DataFrame | None = None) -> DataFrame:
     """``(pid, vec, n)``: the mean vector of each partition at length 1, weighted by degree + 1."""
     if degree is not None:
