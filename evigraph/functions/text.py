@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -106,3 +110,84 @@ def keyword_object(c: Column) -> Column:
     """Keywords of a JSON object, with or without a code fence: high_level and low_level arrays."""
     body = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     return F.from_json(body, "high_level_keywords array<string>, low_level_keywords array<string>")
+
+
+#: Where rows of other systems hold what they retrieved, and what names a document.
+ID_FIELDS = ("retrieved_document_ids", "retrieved_doc_ids", "document_ids", "doc_ids", "retrieved_docs")
+ID_HOLDERS = ("document", "documents", "passage", "passages")
+ID_NAMES = ("id", "document_id", "title", "name")
+#: Where metadata holds answers.
+ANSWER_FIELDS = ("answers", "answer", "answer_text", "gold_answer", "gold_answers")
+
+
+def _first_of(c: Column, names: tuple[str, ...]) -> Column:
+    """The first of several fields of a JSON object that isn't empty."""
+    return F.coalesce(*[F.nullif(F.nullif(F.get_json_object(c, f"$.{n}"), F.lit("")), F.lit("[]")) for n in names])
+
+
+def _listed(c: Column) -> Column:
+    """A JSON list as texts; anything else as a list of one."""
+    return F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+
+
+def retrieved_ids(row: Column) -> Column:
+    """Document ids, each once, in order, out of a JSON row: the first of ID_FIELDS that is there, as a
+    text, a list of texts or of objects, or an object that holds such a list; without one none."""
+    field = F.coalesce(*[F.get_json_object(row, f"$.{n}") for n in ID_FIELDS])
+    held = F.when(field.startswith("{"), F.coalesce(_first_of(field, ID_HOLDERS), F.lit("[]"))).otherwise(field)
+    ids = F.transform(_listed(held), lambda x: F.when(x.startswith("{"), _first_of(x, ID_NAMES)).otherwise(x))
+    return F.coalesce(F.array_distinct(F.array_compact(ids)), F.array().cast("array<string>"))
+
+
+def metadata_answers(meta: Column) -> Column:
+    """Answers, each once, sorted, out of JSON metadata: of all ANSWER_FIELDS, given as a text, a list
+    of texts or of objects with ``text`` or ``answer``, or such an object; empty ones go."""
+    every = []
+    for n in ANSWER_FIELDS:
+        v = F.get_json_object(meta, f"$.{n}")
+        texts = F.transform(_listed(v), lambda x: F.when(x.startswith("{"), _first_of(x, ("text", "answer"))).otherwise(x))
+        every.append(F.when(v.isNotNull(), texts).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.filter(F.array_compact(F.concat(*every)), lambda x: x != "")))
+
+
+def prompt(question: Column, contexts: Column) -> Column:
+    """The reader's prompt: numbered contexts ``(title, text)``, then the question. The wording is a
+    fixed value."""
+    one = lambda c, i: F.regexp_replace(
+        F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(c["title"], F.lit("")), F.lit("\n"), F.coalesce(c["text"], F.lit(""))), r"\s+$", ""
+    )
+    return F.concat(
+        F.lit("Answer the question using only the context below. If the answer is not supported, say that it is not available.\n\nContext:\n"),
+        F.array_join(F.transform(contexts, one), "\n\n"), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"),
+    )
+
+
+def csv_section(df: DataFrame, id_col: str, blob: str, column: str = "content") -> DataFrame:
+    """``(id, pos, column)``: the non-empty values of a column of the CSV section of a text; quoted
+    fields may run over lines. A text without the section gives no row; a section without the column
+    is an error."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def rows(blob: str | None) -> list[str]:
+        body = re.search(r"-----Sources-----\s*```csv\s*(.*?)\s*```", blob or "", re.DOTALL)
+        got = list(csv.reader(io.StringIO(body[1].strip(), newline=""))) if body else []
+        if not got:
+            return []
+        names = [x.strip().lower() for x in got[0]]
+        if column not in names:
+            raise ValueError(f"the section has no column {column}")
+        at = names.index(column)
+        return [r[at] for r in got[1:] if len(r) > at and r[at]]
+
+    def run(batches):
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            ids, pos, out = [], [], []
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = rows(b)
+                ids += [i] * len(got)
+                pos += range(1, len(got) + 1)
+                out += got
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(pos, pa.int64()), pa.array(out, pa.string())], names=["i", "pos", "v"])
+
+    return df.select(id_col, blob).mapInArrow(run, f"i {id_type}, pos long, v string").toDF(id_col, "pos", column)

@@ -118,3 +118,53 @@ def route_order(score: DataFrame, pids: DataFrame, k0: float = 60.0) -> DataFram
     full = grid.join(score, ["query_id", "pid"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     rnk = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pid")).cast("long")
     return full.withColumn("rnk", rnk).select("query_id", "pid", "rnk", F.round(1.0 / (k0 + F.col("rnk") - 1), 9).alias("rr"))
+
+
+def project(chunks: DataFrame, documents: DataFrame, k: int, strict: bool = False) -> DataFrame:
+    """``(query_id, doc, rnk)``: a ranking of chunks ``(query_id, pos, chunk)`` as one of their
+    documents ``(chunk, doc)``, each at its first chunk. With ``strict`` a chunk without a document is
+    an error, otherwise it is passed over."""
+    if strict and not chunks.join(documents, "chunk", "left_anti").isEmpty():
+        raise KeyError("a ranking names a chunk that has no document")
+    first = chunks.join(documents, "chunk").groupBy("query_id", "doc").agg(F.min("pos").alias("pos"))
+    rnk = F.row_number().over(W.partitionBy("query_id").orderBy("pos")).cast("long")
+    return first.withColumn("rnk", rnk).where(F.col("rnk") <= k).select("query_id", "doc", "rnk")
+
+
+def tree_and_dense(nodes: DataFrame, under: DataFrame, dense: DataFrame, k: int, base: float = 60.0) -> DataFrame:
+    """Documents by reciprocal ranks of the tree nodes ``(query_id, node, rnk)`` that stand for them,
+    ``under (node, doc_id)``, and of a dense ranking; ties to the smaller id."""
+    own = nodes.join(under, "node").select("query_id", "doc_id", "rnk").unionByName(dense.select("query_id", "doc_id", "rnk"))
+    return ranked(own.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (base + F.col("rnk"))), 9).alias("score")), k)
+
+
+def ascend(lists: dict[str, DataFrame], golds: DataFrame, grid: tuple[float, ...], passes: int, k: int, base: float = 60.0) -> dict[str, float]:
+    """One weight a list by coordinate ascent on the mean recall of the golds among the first ``k`` of
+    the weighted reciprocal ranks: every list in turn takes the best weight of the grid, if that beats
+    the present one. The reciprocal ranks of all candidates are written once; a trial is one ranking
+    of them."""
+    from evigraph.session import cut
+
+    wide = None
+    for name, own in lists.items():
+        rr = own.select("query_id", "doc_id", (1.0 / (base + F.col("rnk"))).alias(name))
+        wide = rr if wide is None else wide.join(rr, ["query_id", "doc_id"], "full_outer")
+    gold = golds.select("query_id", "doc_id", F.lit(1).alias("_gold")).distinct()
+    wide = cut(wide.fillna(0.0).join(gold, ["query_id", "doc_id"], "left"))
+    total = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def recall(w: dict[str, float]) -> float:
+        score = sum(w[x] * F.col(x) for x in lists)
+        top = ranked(wide.withColumn("score", F.round(score, 12)), k).select("query_id", "doc_id").join(gold, ["query_id", "doc_id"], "left_semi")
+        hit = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("h"))
+        return total.join(hit, "query_id", "left").agg(F.avg(F.coalesce("h", F.lit(0)) / F.col("n"))).first()[0] or 0.0
+
+    weights = dict.fromkeys(lists, 1.0)
+    best = recall(weights)
+    for _ in range(passes):
+        for name in lists:
+            for w in grid:
+                got = recall({**weights, name: w})
+                if got > best:
+                    best, weights = got, {**weights, name: w}
+    return weights

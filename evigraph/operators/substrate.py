@@ -31,6 +31,23 @@ def title_mentions(docs: DataFrame) -> DataFrame:
     return links.select(F.least("doc_id", "other").alias("src"), F.greatest("doc_id", "other").alias("dst")).distinct()
 
 
+def title_mentions_first(docs: DataFrame, directed: bool = False) -> DataFrame:
+    """``(src, dst)``: one document's title occurs in the other's text, blocked on the title's first
+    token alone. Undirected with src < dst; ``directed`` leads from the mentioning document to the
+    largest id of those that bear the title. Titles that don't start with ``[a-z0-9]`` in lower case
+    are left out. Copies of a title are searched once."""
+    d = docs.where("doc_id is not null")
+    own = d.where("title is not null").select("doc_id", F.lower("title").alias("lt")).withColumn("tok", F.regexp_extract("lt", "^[a-z0-9]+", 0)).where("tok <> ''")
+    titles = own.groupBy("lt").agg(F.first("tok").alias("tok"), F.max("doc_id").alias("last"))
+    text = d.where("text is not null").select(F.col("doc_id").alias("other"), F.lower("text").alias("lx"))
+    words = text.select("other", F.explode(F.array_distinct(alnum(F.col("lx")))).alias("tok"))
+    hits = titles.join(words, "tok").join(text, "other").where(F.col("lx").contains(F.col("lt"))).select("lt", "last", "other")
+    if directed:
+        return hits.where("last <> other").select(F.col("other").alias("src"), F.col("last").alias("dst"))
+    links = hits.join(own.select("lt", "doc_id"), "lt").where("doc_id <> other")
+    return links.select(F.least("doc_id", "other").alias("src"), F.greatest("doc_id", "other").alias("dst")).distinct()
+
+
 def question_golds(nodes: DataFrame) -> DataFrame:
     """``(query_id, doc_id)``: the neighbours of questions that are corpus nodes."""
     q = nodes.where("type = 'question'").select(F.col("node_id").alias("query_id"), F.explode(F.array_distinct("neighbors")).alias("doc_id"))
