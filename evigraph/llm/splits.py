@@ -285,11 +285,11 @@ def audit(queries: DataFrame, targets: DataFrame) -> DataFrame:
     most = done.groupBy("first_query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
     per = done.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     want = targets.where("split is not null and share > 0").select("split", (F.col("share") / F.sum("share").over(W.partitionBy())).alias("w"))
-    off = want.join(per, "split", "left").crossJoin(n).crossJoin(most).agg(
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  tables of a single row, joined on it
+    off = one(want.join(per, "split", "left")).join(one(n), "_one").join(one(most), "_one").agg(
         F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("w") * F.col("queries")) > 0.01 * F.col("queries") + F.col("most")).alias("off")
     )
-    # single rows
-    return n.crossJoin(torn).crossJoin(seeds).crossJoin(off)
+    return one(n).join(one(torn), "_one").join(one(seeds), "_one").join(one(off), "_one").drop("_one")
 
 
 def balance(queries: DataFrame, targets: DataFrame) -> DataFrame:
