@@ -184,3 +184,27 @@ def keyword_objects(spark, sf):
     obj = F.to_json(F.struct(high.alias("high_level_keywords"), F.array_distinct(F.coalesce("answers", F.array().cast("array<string>"))).alias("low_level_keywords")))
     k = T.keyword_object(F.concat(F.lit("Here you are:\n```json\n"), obj, F.lit("\n```")))
     return r.select("id", F.size(k["low_level_keywords"]).cast("long").alias("low"), F.size(k["high_level_keywords"]).cast("long").alias("high"))
+
+
+# --- what a user plugs in ------------------------------------------------------------------------------
+_HEX = "(16 * (strpos('0123456789abcdef', substr(h, {0}, 1)) - 1) + strpos('0123456789abcdef', substr(h, {1}, 1)) - 1)"
+_ENC = f"""tk as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as w from documents where doc_id is not null), hs as (select doc_id, md5(w) as h from tk), pl as (select doc_id, {_HEX.format(1, 2)} % 64 as d, sum(1 - 2 * ({_HEX.format(3, 4)} % 2))::DOUBLE as x from hs group by 1, 2),
+    ve as (select doc_id, d, x / sqrt(nullif(sum(x * x) over (partition by doc_id), 0)) as x from pl)"""
+
+
+@query("encoded_topk", f"with {_ENC}, q as (select doc_id as query_id from documents where doc_id % 100 = 0), s as (select q.query_id, b.doc_id, round(coalesce(sum(x.x * y.x), 0), 6) + 0.0 as score from q cross join documents b left join ve x on x.doc_id = q.query_id left join ve y on y.doc_id = b.doc_id and y.d = x.d group by 1, 2) select * from (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rnk, doc_id, score from s) where rnk <= 10")
+def encoded_topk(spark, sf):
+    """Dense search over texts by a plugged-in encoder, here the hashed stand-in."""
+    from evigraph.interfaces import retrieve
+
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return retrieve("hashed", d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"), d, 10)
+
+
+@query("mock_reader", f"with {R} select id, array_to_string(list_filter(string_split_regex(string_split(coalesce(contexts[1].text, ''), chr(10))[1], '[\\s]+'), lambda x: x <> '')[1:5], ' ') as answer from r where len(contexts) > 0 and question is not null")
+def mock_reader(spark, sf):
+    """Prompts answered by a plugged-in model, here one that repeats the first context."""
+    from evigraph.interfaces import ExtractiveModel, generate
+
+    r = runs(spark, sf, "question", "contexts").where("size(contexts) > 0 and question is not null")
+    return generate(r.select("id", T.prompt(F.col("question"), F.col("contexts")).alias("prompt")), "id", "prompt", ExtractiveModel())

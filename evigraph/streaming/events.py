@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,23 +13,30 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def windows(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums by tumbling window and type; rows later than ``late`` are dropped by the
-    watermark, which also bounds the state."""
+    watermark, which in the modes ``append`` and ``update`` also bounds the state."""
     e = events.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", late)
     g = e.groupBy(F.window("t", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
     return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-def run_windows(spark: SparkSession, path: str, out: str, width: str = "1 hour") -> DataFrame:
-    """Drains the files at ``path`` as a stream into ``out`` and reads the result."""
+def run_windows(spark: SparkSession, path: str, out: str, width: str = "1 hour", late: str = "1 day", mode: str = "update", files: int = 64) -> DataFrame:
+    """Reads what is new at ``path`` as a stream into ``out`` and returns the windows so far.
+
+    In mode ``update`` a micro-batch writes the windows that it changed, each into a directory of its
+    own that a repeated batch replaces, and of a window the last one counts; in mode ``append`` only
+    windows that the watermark has closed are written, once. The checkpoint lies under ``out``: a
+    later call, or one after a failure, goes on where the last one ended."""
     attach(spark)
-    src = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 64).parquet(path)
+    src = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/windows")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/windows/n={number}")
 
-    q = windows(src, width).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(keep).start()
+    q = windows(src, width, late).writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/windows")
+    got = spark.read.schema("start string, event_type string, n long, value double, batch long").option("recursiveFileLookup", True).parquet(f"{out}/windows")
+    last = got.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "value"), "batch").alias("x"))
+    return last.select("start", "event_type", "x.n", "x.value")
 
 
 def maintain_postings(spark: SparkSession, schema: str, path: str, out: str) -> None:
