@@ -83,13 +83,17 @@ def topk(
 
 
 def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries by id, in blocks of about BLOCK rows, one at a time on the driver: they are counted
-    first, and a larger table is read block by block, by the hash of the id."""
+    """The queries by id, in blocks of about BLOCK rows, one at a time on the driver: never more than
+    BLOCK + 1 are fetched before they are counted, and a larger table is read block by block, by the
+    hash of the id."""
     q = queries.where("query_id is not null").withColumn("query_id", F.col("query_id").cast("long"))
-    n = q.count()
-    blocks = 1 if n <= BLOCK else -(-2 * n // BLOCK)
+    got = q.limit(BLOCK + 1).toArrow()
+    if got.num_rows <= BLOCK:
+        yield got.sort_by("query_id")
+        return
+    blocks = -(-2 * q.count() // BLOCK)
     for b in range(blocks):
-        yield (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow().sort_by("query_id")
+        yield q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().sort_by("query_id")
 
 
 def topk_heads(heads: DataFrame, items: DataFrame, k: int, tau: float | None = None, digits: int = 6) -> DataFrame:

@@ -32,19 +32,25 @@ def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPS * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None) -> DataFrame:
-    """``(query_id, rnk, doc_id, score)`` of the documents that share a term with the query.
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None, scope: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(query_id, rnk, doc_id, score)`` of the documents that share a term with the query and, with
+    ``scope``, tables ``(query_id, scope)`` and ``(doc_id, scope)``, the scope: it is part of the join.
 
     A term counts as often as it occurs in the query. Postings are reduced to the queries' terms
     before their weights are joined; term weights and the length normalisation meet the postings
-    once. Scores are rounded to 6 places, ties go to the smaller id."""
+    once. Scores are rounded to 6 places, ties go to the smaller id. Without k, scores alone come
+    back, unranked."""
     qt = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     post, stats = postings(docs), corpus_stats(docs)
     weights = idf(post, stats)
     used = post.join(qt.select("term").distinct(), "term", "left_semi").join(weights, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    hits = used.select("term", "doc_id", w.alias("w")).join(qt, "term")
-    return ranked(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score")), k)
+    used, on = used.select("term", "doc_id", w.alias("w")), ["term"]
+    if scope is not None:
+        used, qt, on = used.join(scope[1], "doc_id"), qt.join(scope[0], "query_id"), ["term", "scope"]
+    hits = used.join(qt, on)
+    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
+    return scored if k is None else ranked(scored, k)
 
 
 def bm25_filled(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -52,9 +58,12 @@ def bm25_filled(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     Only the k smallest ids, plus as many as may be hits, can fill a list, so the fill side is a
     bounded table and not all documents."""
-    hits = bm25(queries, docs, k)
+    from evigraph.session import cut
+
+    scored = cut(bm25(queries, docs, None))  # used twice
+    hits = ranked(scored, k)
     small = docs.where("doc_id is not null").select("doc_id").orderBy("doc_id").limit(2 * k)
-    have = bm25(queries, docs, None).select("query_id", "doc_id")
+    have = scored.select("query_id", "doc_id")
     fill = queries.select("query_id").crossJoin(F.broadcast(small)).join(have, ["query_id", "doc_id"], "left_anti")
     both = hits.select("query_id", "doc_id", "score", F.lit(0).alias("z")).unionByName(fill.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("z")))
     from pyspark.sql import Window as W

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.functions.vector import _best, _matrix, mean_by, ranked
+from evigraph.session import attach
 
 RANGES = 4_096  # id ranges by which a global rank is computed in parallel
 
@@ -26,6 +29,76 @@ def dense_rank_of(df: DataFrame, key: str) -> DataFrame:
     return r.withColumn("_r", rn).join(F.broadcast(before), "_g").withColumn("idx", F.col("_r") + F.col("_b")).drop("_g", "_r", "_b")
 
 
+def in_groups(df: DataFrame, group: str, key: str, value: str | None = None) -> DataFrame:
+    """Adds to each row of a group, in the order of an integer key, ``idx``, its 0-based position,
+    ``prev``, the key before it, and with ``value`` ``upto``, the sum of it up to and with the row.
+
+    A group that holds a tenth of all rows isn't one task: keys are cut into ranges, ranges are
+    counted per group, and each range of a group is ordered by itself. Null keys go."""
+    df = df.where(F.col(key).isNotNull())
+    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    lo, hi = span["lo"] or 0, span["hi"] or 0
+    r = df.withColumn("_g", F.floor((F.col(key) - lo) / max(1, (hi - lo) // RANGES + 1)))
+    v = F.col(value) if value else F.lit(0)
+    sizes = r.groupBy(group, "_g").agg(F.count(F.lit(1)).alias("_n"), F.max(key).alias("_last"), F.sum(v).alias("_v"))  # RANGES rows a group
+    w = W.partitionBy(group).orderBy("_g")
+    before = sizes.select(
+        F.col(group).alias("_group"), F.col("_g").alias("_at"), (F.sum("_n").over(w) - F.col("_n")).alias("_b"), (F.sum("_v").over(w) - F.col("_v")).alias("_s"), F.lag("_last").over(w).alias("_p"),
+    )
+    own = W.partitionBy(group, "_g").orderBy(key)
+    out = r.withColumns({"_r": F.row_number().over(own) - 1, "_l": F.lag(key).over(own), "_u": F.sum(v).over(own.rowsBetween(W.unboundedPreceding, 0))})
+    out = out.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_g") == F.col("_at")))
+    out = out.withColumns({"idx": F.col("_r") + F.col("_b"), "prev": F.coalesce("_l", "_p"), "upto": F.col("_u") + F.col("_s")})
+    return out.drop("_g", "_n", "_last", "_v", "_group", "_at", "_b", "_s", "_p", "_r", "_l", "_u", *([] if value else ["upto"]))
+
+
+def subcentroids(items: DataFrame, c: int, rounds: int = 10) -> DataFrame:
+    """``(pid, sub, vec)``: c means of each partition by Lloyd's rounds, from the c members of the
+    smallest hashes; a partition of fewer members has those. Members are summed inside the tasks, so a
+    partition that holds a third of all rows costs a row a task; the means, as few as partitions are,
+    are held by the tasks."""
+    spark = attach(items.sparkSession)
+    src = items.where("pid is not null and vec is not null").select("pid", "doc_id", F.col("vec").cast("array<double>").alias("vec"))
+    w = W.partitionBy("pid").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = src.withColumn("sub", F.row_number().over(w) - 1).where(F.col("sub") < c).select("pid", "sub", "vec")
+    if first.limit(LIMIT * c + 1).count() > LIMIT * c:
+        raise ValueError("more partitions than a task may hold means of")
+    means = {(r["pid"], r["sub"]): np.array(r["vec"]) for r in first.collect()}
+    for _ in range(rounds if c > 1 else 1):
+        table = {}
+        for (p, s), v in sorted(means.items()):
+            table.setdefault(p, ([], []))
+            table[p][0].append(s), table[p][1].append(v)
+        held = spark.sparkContext.broadcast({p: (np.array(s), np.stack(v)) for p, (s, v) in table.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], list] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                pids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                for p in np.unique(pids).tolist():
+                    subs, m = held.value[p]
+                    own = x[pids == p]
+                    near = ((own[:, None, :] - m[None]) ** 2).sum(axis=2).argmin(axis=1)
+                    for j in np.unique(near).tolist():
+                        got = sums.setdefault((p, int(subs[j])), [0, 0])
+                        got[0], got[1] = got[0] + own[near == j].sum(axis=0), got[1] + int((near == j).sum())
+            rows = [(p, s, d, float(v), n) for (p, s), (total, n) in sums.items() for d, v in enumerate(total)]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["pid", "sub", "d", "x", "n"])
+
+        found = src.select("pid", "vec").mapInArrow(run, "pid long, sub int, d int, x double, n long").groupBy("pid", "sub", "d").agg((F.sum("x") / F.sum("n")).alias("x"))
+        vecs = found.groupBy("pid", "sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda y: y["x"]).alias("vec"))
+        moved = {(r["pid"], r["sub"]): np.array(r["vec"]) for r in vecs.collect()}
+        still = all(np.allclose(moved.get(k, v), v, atol=1e-12) for k, v in means.items())
+        means.update(moved)
+        if still:
+            break
+    rows = [(int(p), int(s), [float(x) for x in v]) for (p, s), v in sorted(means.items())]
+    return spark.createDataFrame(rows, "pid long, sub long, vec array<double>")
+
+
 def chunks(df: DataFrame, key: str, target: int) -> DataFrame:
     """Contiguous partitions of ``target`` rows by key: adds ``pid``."""
     return dense_rank_of(df, key).withColumn("pid", F.floor(F.col("idx") / target).cast("long")).drop("idx")

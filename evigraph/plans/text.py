@@ -89,12 +89,8 @@ def selectivity_retrieve(spark, sf):
 @query("scoped_bm25", f"with {POST}, {STAT}, {IDF}, {BM} select * from (select query_id, {RANK} as rnk, doc_id, score from bs join documents a on a.doc_id = query_id join documents b on b.doc_id = bs.doc_id where a.source = b.source) where rnk <= 10".replace("partition by query_id order by score desc, doc_id", "partition by query_id order by score desc, bs.doc_id").replace("rnk, doc_id, score from bs join", "rnk, bs.doc_id, score from bs join"))
 def scoped_bm25(spark, sf):
     """Lexical ranking inside the query's own source only."""
-    from evigraph.functions.vector import ranked
-
-    src = table(spark, sf, "documents").select("doc_id", "source")
-    own = src.select(F.col("doc_id").alias("query_id"), F.col("source").alias("qs"))
-    hits = lexical.bm25(asked(spark, sf), docs(spark, sf), None).join(src, "doc_id").join(own, "query_id").where("source = qs")
-    return ranked(hits.select("query_id", "doc_id", "score"), 10)
+    src = table(spark, sf, "documents").where("source is not null").select("doc_id", F.col("source").alias("scope"))
+    return lexical.bm25(asked(spark, sf), docs(spark, sf), 10, (src.withColumnRenamed("doc_id", "query_id"), src))
 
 
 @query("dedup_exact", "select doc_id, title, text from (select *, row_number() over (partition by coalesce(title, ''), title is null, md5(coalesce(text, '')), text is null order by doc_id) as r from documents) where r = 1")
@@ -121,8 +117,8 @@ def chunk_partition(spark, sf):
 @query("source_chain", "select * from (select source, lag(doc_id) over (partition by source order by doc_id) as src, doc_id as dst from documents) where src is not null")
 def source_chain(spark, sf):
     """Consecutive documents of a source, as paragraphs of an article are chained."""
-    w = W.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("source", F.lag("doc_id").over(w).alias("src"), F.col("doc_id").alias("dst")).where("src is not null")
+    d = partition.in_groups(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
+    return d.select("source", F.col("prev").alias("src"), F.col("doc_id").alias("dst")).where("src is not null")
 
 
 @query("answer_normalise", r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) as norm from documents""")
@@ -155,14 +151,13 @@ def split_assign(spark, sf):
     return r.select("doc_id", F.when(F.col("i") < a, "train").when(F.col("i") < a + b, "val").otherwise("test").alias("split"))
 
 
-@query("doc_fingerprint", "select source, sha256(string_agg(sha256(doc_id::VARCHAR || '|' || coalesce(title, '') || '|' || coalesce(text, '')), chr(10) order by doc_id)) as fingerprint from documents group by source")
+@query("doc_fingerprint", "select source, sum(('0x' || substr(md5(doc_id::VARCHAR || '|' || coalesce(title, '') || '|' || coalesce(text, '')), 1, 15))::HUGEINT)::VARCHAR as fingerprint, count(*)::BIGINT as docs from documents group by source")
 def doc_fingerprint(spark, sf):
-    """Content-addressed fingerprint per source: rows are hashed where they are, then their hashes
-    by blocks of ids would grow with the source, so only 64 characters a row are gathered."""
-    row = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    d = table(spark, sf, "documents").select("source", "doc_id", row.alias("h"))
-    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]))
-    return d.groupBy("source").agg(F.sha2(joined, 256).alias("fingerprint"))
+    """Content-addressed fingerprint per source, whatever the order of its rows: the sum of the rows'
+    hashes, 60 bits each, which combines map-side."""
+    row = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+    d = table(spark, sf, "documents").select("source", F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
+    return d.groupBy("source").agg(F.sum("h").cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("docs"))
 
 
 @query("token_budget", f"""with {TOK}, c as (select d.source as query_id, d.doc_id, len(t) as tokens, row_number() over (partition by d.source order by d.doc_id) as rnk from tk join documents d using (doc_id)), b as (select *, coalesce(sum(tokens) over (partition by query_id order by rnk rows between unbounded preceding and 1 preceding), 0) as before from c)
@@ -170,8 +165,8 @@ def doc_fingerprint(spark, sf):
 def token_budget(spark, sf):
     """Documents of a source, in order of their ids, as contexts within 2,000 tokens."""
     d = table(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("tokens"))
-    d = d.withColumn("rnk", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")).cast("long"))
-    return metrics.fit_budget(d, 2000).select("query_id", "rnk", "doc_id", "tokens", "kept")
+    d = partition.in_groups(d, "query_id", "doc_id", "tokens").withColumn("kept", F.least("tokens", F.lit(2000) - (F.col("upto") - F.col("tokens"))))
+    return d.where("kept > 0").select("query_id", (F.col("idx") + 1).cast("long").alias("rnk"), "doc_id", "tokens", "kept")
 
 
 @query("tree_select", f"""with {TOK}, c as (select d.source as query_id, d.doc_id, len(t) as tokens, row_number() over (partition by d.source order by d.doc_id) as rnk from tk join documents d using (doc_id)), b as (select *, sum(tokens) over (partition by query_id order by rnk) as upto from c)
@@ -179,9 +174,8 @@ def token_budget(spark, sf):
 def tree_select(spark, sf):
     """Nodes in order until the first that would exceed the budget."""
     d = table(spark, sf, "documents").select(F.col("source").alias("query_id"), "doc_id", F.size(T.tokens(F.col("text"))).alias("tokens"))
-    w = W.partitionBy("query_id").orderBy("doc_id")
-    d = d.select("query_id", F.row_number().over(w).cast("long").alias("rnk"), "doc_id", F.sum("tokens").over(w).alias("upto"))
-    return d.where("upto <= 2000").select("query_id", "rnk", "doc_id")
+    d = partition.in_groups(d, "query_id", "doc_id", "tokens")
+    return d.where("upto <= 2000").select("query_id", (F.col("idx") + 1).cast("long").alias("rnk"), "doc_id")
 
 
 @query("context_format", "with c as (select source, doc_id, title, text, row_number() over (partition by source order by doc_id) as r from documents) select source, string_agg('[' || r || '] ' || coalesce(title, '') || ': ' || substring(coalesce(text, ''), 1, 1800), chr(10) order by r) as context from c where r <= 5 group by source")

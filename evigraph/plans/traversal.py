@@ -184,15 +184,8 @@ def soar(spark, sf):
 
 @query("subcentroids")
 def subcentroids(spark, sf):
-    """Two sub-centroids a partition. A partition is bounded by its builder; members are shuffled
-    once, by partition."""
-    import pandas as pd
-
-    def run(pdf):
-        m = kernels.kmeans(np.stack(pdf["vec"]).astype(float), 2)
-        return pd.DataFrame({"pid": int(pdf["pid"][0]), "sub": np.arange(len(m)), "vec": [list(map(float, v)) for v in m]})
-
-    return R.items(spark, sf).groupBy("pid").applyInPandas(run, "pid long, sub long, vec array<double>")
+    """Two sub-centroids a partition."""
+    return partition.subcentroids(R.items(spark, sf), 2)
 
 
 @query("relation_offsets")
