@@ -104,6 +104,19 @@ def chunks(df: DataFrame, key: str, target: int) -> DataFrame:
     return dense_rank_of(df, key).withColumn("pid", F.floor(F.col("idx") / target).cast("long")).drop("idx")
 
 
+def hash_split(ids: DataFrame, key: str, train: float = 0.7, val: float = 0.2) -> DataFrame:
+    """``(key, split)`` by the order of a hash of the key: exact sizes without a global sort, by
+    counting the hashes' first three digits and ranking inside each. Null keys go."""
+    d = ids.where(F.col(key).isNotNull()).select(key, F.md5(F.col(key).cast("string")).alias("h")).withColumn("p", F.substring("h", 1, 3))
+    held = d.groupBy("p").agg(F.count(F.lit(1)).alias("c"))  # 4,096 rows at most
+    w = W.partitionBy()
+    before = held.select("p", (F.sum("c").over(w.orderBy("p")) - F.col("c")).alias("b"), F.sum("c").over(w).alias("n"))
+    i = F.row_number().over(W.partitionBy("p").orderBy("h", key)) - 1 + F.col("b")
+    r = d.join(F.broadcast(before), "p").withColumn("i", i)
+    a, b = F.floor(train * F.col("n")), F.floor(val * F.col("n"))
+    return r.select(key, F.when(F.col("i") < a, "train").when(F.col("i") < a + b, "val").otherwise("test").alias("split"))
+
+
 def spread_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """``(node, label)``: every node starts as its own label and takes, round by round, the one most
     of its neighbours have, of equal ones the smallest. A hub's neighbours are counted map-side."""

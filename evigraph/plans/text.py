@@ -139,16 +139,8 @@ def alnum_tokens(spark, sf):
 
 @query("split_assign", "with h as (select doc_id, row_number() over (order by md5(doc_id::VARCHAR), doc_id) - 1 as i, count(*) over () as n from documents) select doc_id, case when i < floor(0.7 * n) then 'train' when i < floor(0.7 * n) + floor(0.2 * n) then 'val' else 'test' end as split from h")
 def split_assign(spark, sf):
-    """70/20/10 by the order of a hash of the id: exact sizes without a global sort, by counting the
-    hashes' first three digits and ranking inside each."""
-    d = table(spark, sf, "documents").where("doc_id is not null").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h")).withColumn("p", F.substring("h", 1, 3))
-    held = d.groupBy("p").agg(F.count(F.lit(1)).alias("c"))  # 4,096 rows at most
-    w = W.partitionBy()
-    before = held.select("p", (F.sum("c").over(w.orderBy("p")) - F.col("c")).alias("b"), F.sum("c").over(w).alias("n"))
-    i = F.row_number().over(W.partitionBy("p").orderBy("h", "doc_id")) - 1 + F.col("b")
-    r = d.join(F.broadcast(before), "p").withColumn("i", i)
-    a, b = F.floor(0.7 * F.col("n")), F.floor(0.2 * F.col("n"))
-    return r.select("doc_id", F.when(F.col("i") < a, "train").when(F.col("i") < a + b, "val").otherwise("test").alias("split"))
+    """70/20/10 by the order of a hash of the id."""
+    return partition.hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
 @query("doc_fingerprint", "select source, sum(('0x' || substr(md5(doc_id::VARCHAR || '|' || coalesce(title, '') || '|' || coalesce(text, '')), 1, 15))::HUGEINT)::VARCHAR as fingerprint, count(*)::BIGINT as docs from documents group by source")

@@ -230,7 +230,7 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
 def test_partitions_in_blocks_give_the_same(spark, monkeypatch):
     it = spark.createDataFrame([(i, i % 3 if i % 2 else 0, [float(i % 7), float(i % 5), 1.0]) for i in range(90)], "doc_id long, pid long, vec array<double>")
     q = it.where("doc_id % 9 = 0").select(F.col("doc_id").alias("query_id"), "vec")
-    routed = q.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("pid"))
+    routed = q.select("query_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("pid"))
     one = sorted(map(tuple, partition.scoped(q, routed, it, 5).collect()))
     monkeypatch.setattr(partition, "ROWS", 10)
     monkeypatch.setattr(partition, "ASKING", 4)
@@ -247,3 +247,48 @@ def test_sign_flip_tells_a_shift_from_none(spark):
     shift = spark.createDataFrame([(i, 1.0 + (i % 3)) for i in range(40)], "id long, d double")
     none = spark.createDataFrame([(i, float(1 - 2 * (i % 2))) for i in range(40)], "id long, d double")
     assert contract.sign_flip(shift, "d").first().p < 0.01 and contract.sign_flip(none, "d").first().p == 1.0
+
+
+def test_groups_in_ranges_give_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), k, rng.randint(0, 9)) for k in rng.sample(range(-500, 5000), 300)]
+    want, seen = {}, {}
+    for g, k, v in sorted(rows, key=lambda r: r[1]):
+        idx, prev, upto = seen.get(g, (0, None, 0))
+        want[k] = (idx, prev, upto + v)
+        seen[g] = (idx + 1, k, upto + v)
+    df = spark.createDataFrame(rows + [("a", None, 1)], "g string, k long, v long")
+    for ranges in (1, 7, 4096):
+        monkeypatch.setattr(partition, "RANGES", ranges)
+        assert {r.k: (r.idx, r.prev, r.upto) for r in partition.in_groups(df, "g", "k", "v").collect()} == want
+    assert "upto" not in partition.in_groups(df.limit(0), "g", "k").columns
+
+
+def test_subcentroids_find_the_blobs_of_each_partition(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows, centres = [], {}
+    for p in range(3):
+        for b in range(2):
+            c = rng.standard_normal(5) * 10
+            centres.setdefault(p, []).append(c)
+            rows += [(len(rows) + i, p, [float(x) for x in c + 0.1 * rng.standard_normal(5)]) for i in range(30)]
+    rows.append((9999, 7, [1.0] * 5))
+    it = spark.createDataFrame(rows, "doc_id long, pid long, vec array<double>")
+    got = {}
+    for r in partition.subcentroids(it, 2).collect():
+        got.setdefault(r.pid, []).append(np.array(r.vec))
+    assert all(min(np.linalg.norm(c - m) for m in got[p]) < 0.2 for p in centres for c in centres[p]) and len(got[7]) == 1
+    one = {r.pid: r.vec for r in partition.subcentroids(it, 1).collect()}
+    assert np.allclose(one[0], np.mean([v for _, p, v in rows if p == 0], axis=0))
+
+
+def test_partitions_follow_the_graph(spark):
+    """Two cliques with ids mixed up: cut along the graph they stay whole, cut by id they don't."""
+    ids = {c: [2 * i + c for i in range(20)] for c in (0, 1)}
+    e = [(a, b) for c in ids for a in ids[c] for b in ids[c] if a != b] + [(0, 1), (1, 0)]
+    nodes = spark.createDataFrame([(i,) for i in range(40)], "node long")
+    edges = spark.createDataFrame(e, "src long, dst long")
+    got = {r.node: r.pid for r in partition.balanced(partition.spread_labels(nodes, edges, 3), 20).collect()}
+    assert len({got[i] for i in ids[0]}) == 1 and len({got[i] for i in ids[1]}) == 1 and len(set(got.values())) == 2

@@ -45,3 +45,36 @@ def test_balls_keep_2500_and_the_seeds(world):
 
 def test_coverage_picks_the_largest_budget(world):
     assert T.cover_graph(world, "").count() == 200
+
+
+def planted(spark, monkeypatch):
+    """Four kinds of steps between vectors, one a label, each along a chain of a hundred."""
+    import numpy as np
+
+    from evigraph.plans import retrieval as R
+
+    rng = np.random.default_rng(3)
+    steps = rng.standard_normal((4, 16)) * 3
+    rows = []
+    for label in range(4):
+        at = rng.standard_normal(16) * 40
+        for i in range(100):
+            rows.append((label * 100 + i, label, [float(x) for x in at]))
+            at = at + steps[label] + 0.01 * rng.standard_normal(16)
+    df = spark.createDataFrame(rows, "doc_id long, pid long, vec array<double>").cache()
+    monkeypatch.setattr(R, "items", lambda spark, sf: df)
+    return spark
+
+
+def test_relation_offsets_recover_planted_steps(spark, monkeypatch):
+    s = planted(spark, monkeypatch)
+    monkeypatch.setattr(T, "unit", lambda c: c)
+    got = {r.relation: r.edges for r in T.relation_offsets(s, "").collect()}
+    assert sorted(got.values()) == [99, 99, 99, 99]
+
+
+def test_learned_gate_ranks_queries_that_it_was_not_fitted_on(spark, monkeypatch):
+    s = planted(spark, monkeypatch)
+    rows = T.learned_gate(s, "").collect()
+    half = {r.query_id: r.h for r in s.createDataFrame([(r.query_id,) for r in rows], "query_id long").distinct().selectExpr("query_id", "pmod(xxhash64(query_id), 2) as h").collect()}
+    assert rows and set(half.values()) == {1} and all(0 <= r.score <= 1 for r in rows)
