@@ -370,7 +370,8 @@ def neighbours(
         sums[r["tree"]][r["leaf"]] += r["n"]
     cut_at = spark.sparkContext.broadcast({tree: cell_depths(n) for tree, n in sums.items()})
     many = sum(int((1 << (cut_at.value[t] - _log(len(n))).clip(0)).sum()) for t, n in sums.items())
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(many, 4 * spark.sparkContext.defaultParallelism))
+    # a task for every four cells, more where there are few cells
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(many, 4 * spark.sparkContext.defaultParallelism), many // 4)
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
