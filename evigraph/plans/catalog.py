@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import build, nodes, pipeline, projection, registry, retrieval, routing, runs, substrate, text, traversal  # noqa: F401  they register their queries
+from evigraph.plans import build, nodes, pipeline, projection, registry, reports, retrieval, routing, runs, substrate, text, traversal  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -178,10 +178,13 @@ def moving_relevance(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean15"))
 
 
-@query("metric_pivot", f"with {R}, {ANS}, m as (select system, avg(em) as em, avg(f1) as f1 from an join r using (id) group by 1) select metric, round(max(value) filter (where system = 'crag'), 6) as crag, round(max(value) filter (where system = 'bm25_reader'), 6) as bm25_reader from (select system, 'em' as metric, em as value from m union all select system, 'f1', f1 from m) group by metric")
+@query("metric_pivot", f"with {R}, {ANS}, {_TWO}, m as (select place, avg(em) as em, avg(f1) as f1 from an join r using (id) join tw using (system) group by 1) select metric, round(max(value) filter (where place = 1), 6) as first, round(max(value) filter (where place = 2), 6) as second from (select place, 'em' as metric, em as value from m union all select place, 'f1', f1 from m) group by metric")
 def metric_pivot(spark, sf):
-    m = _pairs_all(spark, sf)
-    return m.groupBy("metric").pivot("system", ["crag", "bm25_reader"]).agg(F.round(F.max("value"), 6))
+    """Metrics of the two systems with most rows side by side."""
+    top = runs(spark, sf, "system").where("system is not null").groupBy("system").count().orderBy(F.desc("count"), "system").limit(2).collect()
+    names = {r["system"]: c for r, c in zip(top, ("first", "second"))}
+    m = _pairs_all(spark, sf).groupBy("metric").pivot("system", list(names)).agg(F.round(F.max("value"), 6))
+    return m.select("metric", *[F.col(f"`{s}`").alias(c) for s, c in names.items()])
 
 
 def _pairs_all(spark, sf) -> DataFrame:
