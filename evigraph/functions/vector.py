@@ -24,8 +24,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    # the length is bound to a variable, or it would be computed anew for every number
+    by = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return F.element_at(F.transform(F.array(norm(a)), by), 1)
 
 
 def mean_by(df: DataFrame, keys: list[str], vec: str, weight: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.functions.vector import _best, _matrix, mean_by, ranked
-from evigraph.session import attach
+from evigraph.session import attach, cut
 
 RANGES = 4_096  # id ranges by which a global rank is computed in parallel
 
@@ -120,8 +120,6 @@ def hash_split(ids: DataFrame, key: str, train: float = 0.7, val: float = 0.2) -
 def spread_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """``(node, label)``: every node starts as its own label and takes, round by round, the one most
     of its neighbours have, of equal ones the smallest. A hub's neighbours are counted map-side."""
-    from evigraph.session import cut
-
     lab = nodes.select("node", F.col("node").alias("label"))
     for _ in range(rounds):
         seen = edges.join(lab.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count(F.lit(1)).alias("n"))
@@ -174,19 +172,24 @@ def scoped(queries: DataFrame, routed: DataFrame, items: DataFrame, k: int, each
     A partition is cut into blocks of ROWS documents and its queries into blocks of ASKING, by their
     counts, so that a partition that holds a third of all rows is many tasks; each compares its
     blocks as matrices and sends k documents a query on."""
-    q = routed.select("query_id", "pid").join(queries.select("query_id", F.col("vec").cast("array<double>").alias("qv")), "query_id")
-    it = items.where("vec is not null").select("pid", "doc_id", F.col("vec").cast("array<double>").alias("vec"))
+    routed = cut(routed.select("query_id", "pid"))  # ids only, used three times
+    q = routed.join(queries.select("query_id", F.col("vec").cast("array<double>").alias("qv")), "query_id")
+    it = items.select("pid", "doc_id", F.col("vec").cast("array<double>").alias("vec"))  # nulls go in the tasks: a filter would compute vectors twice
     parts = it.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("db")).join(
         routed.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("qb")), "pid"
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    parts = small(parts)
+    rows = parts.limit(LIMIT + 1).collect()
+    if len(rows) > LIMIT:
+        raise ValueError(f"more than {LIMIT} partitions to search")
+    parts = F.broadcast(items.sparkSession.createDataFrame([tuple(r) for r in rows], parts.schema))
     # aliases, for the two sides have a table in common
     own = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in cols])
     left = own(it.join(parts, "pid").withColumn("d", F.pmod(F.xxhash64("doc_id"), F.col("db")).cast("int")).withColumn("q", every(F.col("qb"))), "pid", "d", "q", "doc_id", "vec")
     right = own(q.join(parts, "pid").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("d", every(F.col("db"))), "pid", "d", "q", "query_id", "qv")
 
     def run(key: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
+        docs, asked = docs.filter(docs.column("vec").is_valid()), asked.filter(asked.column("qv").is_valid())
         ids, own = asked.column("query_id").to_numpy(), docs.column("doc_id").to_numpy()
         x, y = _matrix(asked.column("qv")), _matrix(docs.column("vec"))
         out = []

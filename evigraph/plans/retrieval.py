@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evigraph.functions.vector import BLOCK, dot, rank_of, ranked, topk, topk_heads, unit
 from evigraph.operators import fusion, graph, metrics, partition
 from evigraph.plans.registry import query
+from evigraph.session import cut
 from evigraph.sources.tables import table
 
 K = 100
@@ -357,7 +358,7 @@ def vote_idf(spark, sf):
 @query("partition_quota", f"""with {DENSE}, {ROUTE}, o as (select d.query_id, d.doc_id, rt.rnk as pr, row_number() over (partition by d.query_id, rt.pid order by d.score desc, d.doc_id) as dr from dense_s d join e using (doc_id) join rt on rt.query_id = d.query_id and rt.pid = e.pid where rt.rnk <= 5)
     select * from (select query_id, row_number() over (partition by query_id order by dr, pr, doc_id) as rnk, doc_id from o where dr <= 5) where rnk <= 100""")
 def partition_quota(spark, sf):
-    order = vote_order(spark, sf)
+    order = cut(vote_order(spark, sf))  # ids and ranks, used twice
     return partition.quota(order, in_partitions(spark, sf, order.where("rnk <= 5"), 5), hard(spark, sf), 5, 5, 100)
 
 
@@ -365,7 +366,7 @@ def partition_quota(spark, sf):
     a as (select query_id, doc_id, row_number() over (partition by query_id order by dr, pr, doc_id) as r, 0 as t from o where dr <= 5), t as (select query_id, doc_id, min(struct_pack(t := t, r := r)) as p from (select query_id, doc_id, r, t from a union all select query_id, doc_id, rnk, 1 from dense) group by query_id, doc_id)
     select * from (select query_id, row_number() over (partition by query_id order by p.t, p.r, doc_id) as rnk, doc_id, p.t::BIGINT as tier from t) where rnk <= 50""")
 def route_fill(spark, sf):
-    order = vote_order(spark, sf)
+    order = cut(vote_order(spark, sf))
     head = partition.quota(order, in_partitions(spark, sf, order.where("rnk <= 3"), 5), hard(spark, sf), 3, 5, 100)
     return fusion.tiers([(head, None), (dense(spark, sf), None)], 50)
 

@@ -20,17 +20,25 @@ PICKS = 200  # the largest budget of a coverage
 BUDGET = 200  # nodes that a best-first search expands
 
 
-def _relevance(spark, sf, pairs: DataFrame) -> DataFrame:
+def _nodes(spark, sf) -> DataFrame:
+    """Nodes with their title's words and lower-case content, written once for the rounds of a search."""
+    from evigraph.functions.text import alnum
+
+    n = N.nodes(spark, sf, "title", "content", "source")
+    return n.select("node_id", "content", "source", F.array_distinct(alnum(F.col("title"))).alias("tw"), F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+
+
+def _relevance(spark, sf, pairs: DataFrame, n: DataFrame | None = None) -> DataFrame:
     """``pairs`` with the share of question words that a node's title has, a stand-in for a dense
     score, the title's words, the node's source, the entities that the question names and those of
     them that the node's content has."""
     from evigraph.functions.text import alnum, decompose
 
-    n = N.nodes(spark, sf, "title", "content", "source")
+    n = _nodes(spark, sf) if n is None else n
     named = F.transform(F.slice(decompose(F.coalesce("content", F.lit(""))), 2, 1 << 30), F.lower)
-    q = n.select(F.col("node_id").alias("query_id"), F.array_distinct(alnum(F.col("content"))).alias("qw"), named.alias("entities"))
-    q = q.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
-    d = n.select(F.col("node_id").alias("node"), F.array_distinct(alnum(F.col("title"))).alias("tw"), "source", F.lower(F.coalesce("content", F.lit(""))).alias("low"))
+    asked = n.join(pairs.select(F.col("query_id").alias("node_id")).distinct(), "node_id", "left_semi")
+    q = asked.select(F.col("node_id").alias("query_id"), F.array_distinct(alnum(F.col("content"))).alias("qw"), named.alias("entities"))
+    d = n.select(F.col("node_id").alias("node"), "tw", "source", "low")
     rel = F.when(F.size("tw") > 0, F.size(F.array_intersect("qw", "tw")) / F.size("tw")).otherwise(0.0)
     both = pairs.join(q, "query_id").join(d, "node").withColumn("rel", F.round(rel, 6))
     return both.withColumn("covers", F.filter("entities", lambda e: F.col("low").contains(e))).drop("qw", "low")
@@ -53,11 +61,11 @@ def best_first(spark, sf):
     expands on what is known so far, until it expands none whose neighbours aren't known: the order
     is then that of the whole graph. A round fetches at most BUDGET nodes a query, and one at least
     that the search does expand, so there are no more than BUDGET rounds."""
-    e = cut(N.edges(spark, sf))
+    e, n = cut(N.edges(spark, sf)), cut(_nodes(spark, sf))
 
     def fetched(need: DataFrame) -> DataFrame:
         step = need.join(e.withColumnRenamed("src", "node"), "node").select("query_id", F.col("node").alias("src"), F.col("dst").alias("node"))
-        near = _relevance(spark, sf, step).groupBy("query_id", F.col("src").alias("node")).agg(F.collect_list(F.struct(F.col("node").alias("n"), "rel", "covers")).alias("out"))
+        near = _relevance(spark, sf, step, n).groupBy("query_id", F.col("src").alias("node")).agg(F.collect_list(F.struct(F.col("node").alias("n"), "rel", "covers")).alias("out"))
         return need.join(near, ["query_id", "node"], "left")
 
     def kernel(pdf):
@@ -74,7 +82,7 @@ def best_first(spark, sf):
         parents = {x: p for x, _, p, _, _ in got}
         return [(pdf["query_id"][0], i, x, d, p, s, w, ">".join(kernels.path_to(parents, x)), x in adj) for i, (x, d, p, s, w) in enumerate(got)]
 
-    start = _relevance(spark, sf, N.seeds(spark, sf)).select("query_id", "node", F.col("rel").alias("seed"), "entities")
+    start = _relevance(spark, sf, N.seeds(spark, sf), n).select("query_id", "node", F.col("rel").alias("seed"), "entities")
     known = cut(fetched(start))
     while True:
         trace = cut(kernels.per_query(known, kernel, "query_id string, step long, node string, depth long, parent string, priority double, stop string, path string, known boolean"))

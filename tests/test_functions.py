@@ -232,6 +232,8 @@ def test_partitions_in_blocks_give_the_same(spark, monkeypatch):
     q = it.where("doc_id % 9 = 0").select(F.col("doc_id").alias("query_id"), "vec")
     routed = q.select("query_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("pid"))
     one = sorted(map(tuple, partition.scoped(q, routed, it, 5).collect()))
+    more = it.unionByName(spark.createDataFrame([(900, 0, None), (901, None, [1.0, 1.0, 1.0])], it.schema))
+    assert sorted(map(tuple, partition.scoped(q, routed, more, 5).collect())) == one
     monkeypatch.setattr(partition, "ROWS", 10)
     monkeypatch.setattr(partition, "ASKING", 4)
     assert one and sorted(map(tuple, partition.scoped(q, routed, it, 5).collect())) == one
