@@ -55,8 +55,7 @@ _SPARSE = f"""with {X.POST}, {X.STAT}, {X.IDF}, {X.SPARSE}, s as (select a.doc_i
 def sparse_knn_edges(spark, sf):
     """Documents joined to the three most alike by their term weights, of those with a term in
     common; from the query documents, both ways."""
-    v = lexical.sparse_vectors(X.docs(spark, sf))
-    top = lexical.sparse_topk(v.where("doc_id % 100 = 0"), v, NEAR, exclude_self=True)
+    top = lexical.sparse_search(X.docs(spark, sf), "doc_id % 100 = 0", NEAR, exclude_self=True)
     return graph.mirror(top.select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst")))
 
 
