@@ -96,7 +96,7 @@ def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lookalike.found(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
 
 
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,13 @@ def test_many_copies_become_a_star(spark, monkeypatch):
 @pytest.mark.parametrize("a,b", [("l", "I"), ("O", "0"), ("rn", "m"), ("ª", "a"), ("½", "1/2"), ("’", "'"), ("–", "-")])
 def test_different_looks(spark, a, b):
     assert found(spark, [f"x{a}x", f"x{b}x"]) == set()
+
+
+def test_the_query_writes_every_pair_of_a_large_group(spark, tmp_path):
+    """70 by 70 rows of one look: 4,900 pairs, more than EXPAND."""
+    from evigraph.llm import queries
+
+    df = spark.createDataFrame([(i, "ab" if i < 70 else "a\u200bb") for i in range(140)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries.p8_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i in range(70) for j in range(70, 140)}
