@@ -5,7 +5,7 @@ different things: words, their order, their language by function words and by le
 sentences by form and by what the corpus says. A label model per defect, two classes and one vote
 distribution per function and class, is fitted by expectation maximization on the counts of vote
 patterns over all rows. A pair keeps every label whose posterior reaches the defect's cutoff, which is
-validated on held-out pairs whose label is known: good ones, for their prediction gives a known
+validated on pairs whose label is known: good ones, for their prediction gives a known
 answer, and the same ones with a defect put into them.
 """
 
@@ -28,8 +28,8 @@ from evigraph.session import attach, cut
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 
-LANGUAGE_SAMPLE = 20_000  # questions that the letter triples of languages are counted on
-VALIDATION = 4_000  # rows that cutoffs are validated on
+MODEL_LIMIT = 4_000_000  # letter triples of all languages; their alphabets bound them far below this
+BUCKET = 2_000  # rows that lend each other texts when defects are put into them
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -119,23 +119,57 @@ class Triples:
     """Languages by their letter triples: log frequencies and, of texts of the language itself, the
     mean and the spread of a triple's. Fitted on questions whose function words tell their language."""
 
-    def __init__(self, questions: list[str]) -> None:
+    def __init__(self, questions: list[str], counts: dict[str, tuple[int, Counter]] | None = None) -> None:
         self.logs: dict[str, dict[str, float]] = {}
         self.usual: dict[str, tuple[float, float]] = {}
-        own: dict[str, list[list[str]]] = {}
+        for lang, (texts, n) in (self.counts(questions) if counts is None else counts).items():
+            if texts < 20 or not n:
+                continue
+            total = n.total() + len(n) + 1
+            self.logs[lang] = {t: math.log((c + 1) / total) for t, c in n.items()} | {"": math.log(1 / total)}
+            x, c = np.array([self.logs[lang][t] for t in n]), np.array(list(n.values()), float)
+            mean = float(c @ x / c.sum())
+            self.usual[lang] = (mean, math.sqrt(float(c @ (x - mean) ** 2 / c.sum())) + 1e-9)
+
+    @classmethod
+    def counts(cls, questions: list[str]) -> dict[str, tuple[int, Counter]]:
+        """By language, as told by function words, the number of questions and of their triples."""
+        got: dict[str, tuple[int, Counter]] = {}
         for q in questions:
             ws = words_of(q)
             lang = best(language_scores(ws))
             if lang:
-                own.setdefault(lang, []).append(self.of(ws))
-        for lang, texts in own.items():
-            if len(texts) < 20:
-                continue
-            n = Counter(t for text in texts for t in text)
-            total = n.total() + len(n) + 1
-            self.logs[lang] = {t: math.log((c + 1) / total) for t, c in n.items()} | {"": math.log(1 / total)}
-            seen = [x for text in texts for x in self.values(text, lang)]
-            self.usual[lang] = (float(np.mean(seen)), float(np.std(seen)) + 1e-9)
+                texts, n = got.get(lang, (0, Counter()))
+                n.update(cls.of(ws))
+                got[lang] = (texts + 1, n)
+        return got
+
+    @classmethod
+    def fitted(cls, questions: DataFrame) -> Triples:
+        """On all questions, each once. Counted in the tasks, then summed; the number of questions of
+        a language is the count of its triple of none."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: Counter = Counter()
+            for batch in batches:
+                for lang, (texts, n) in cls.counts([q for q in batch.column(0).to_pylist() if q]).items():
+                    sums[lang, ""] += texts
+                    for t, c in n.items():
+                        sums[lang, t] += c
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in sums], pa.string()), pa.array([t for _, t in sums], pa.string()), pa.array(list(sums.values()), pa.int64())],
+                names=["lang", "t", "n"],
+            )
+
+        rows = questions.mapInArrow(run, "lang string, t string, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")).limit(MODEL_LIMIT + 1).collect()
+        if len(rows) > MODEL_LIMIT:
+            raise ValueError("the alphabets of the languages are larger than they can be")
+        texts = {r["lang"]: r["n"] for r in rows if not r["t"]}
+        own: dict[str, Counter] = {lang: Counter() for lang in texts}
+        for r in sorted(rows):
+            if r["t"]:
+                own[r["lang"]][r["t"]] = r["n"]
+        return cls([], {lang: (texts[lang], n) for lang, n in sorted(own.items())})
 
     @staticmethod
     def of(ws: list[str], skip: set[str] | frozenset[str] = frozenset()) -> list[str]:
@@ -343,12 +377,13 @@ def model(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 60)
 GRID = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)  # cutoffs tried
 
 
-def validated(post: np.ndarray, counts: np.ndarray, good: np.ndarray, made: np.ndarray | None = None, most: float = 0.002) -> float:
+def validated(post: np.ndarray, counts: np.ndarray, good: np.ndarray, made: np.ndarray | None = None, most: float = 0.002, many: np.ndarray | None = None) -> float:
     """The cutoff of the grid that catches most of the pairs into which the defect was put
-    (posteriors ``made``), the lowest of equal ones, among those at which at most ``most`` of the
+    (posteriors ``made``, each of ``many`` pairs), the lowest of equal ones, among those at which at most ``most`` of the
     pairs that are known to be good would be flagged."""
     right = [c for c in GRID if good @ (post >= c) <= most * max(1.0, good.sum())] or [GRID[-1]]
-    return max(right, key=lambda c: ((made >= c).sum() if made is not None else 0, -c))
+    many = np.ones(0 if made is None else len(made)) if many is None else many
+    return max(right, key=lambda c: ((made >= c) @ many if made is not None else 0, -c))
 
 
 #: Plain ways to decline, for validation.
@@ -434,22 +469,38 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _damaged(held, table: pa.Table) -> pa.Table:
+    """Of a bucket of rows those of :func:`damaged`, counted by votes and tail; good ones have no defect."""
+    rows = {r["id"]: tuple(r[c] for c in ("id", "question", "prediction", "answers", "contexts")) for r in table.to_pylist()}
+    kept, made = damaged(list(rows.values()), held.value)
+    n = Counter(("", tuple(v), t) for v, t in kept)
+    for defect, got in made.items():
+        n.update((defect, tuple(v), t) for v, t in got)
+    return pa.table(
+        [
+            pa.array([d for d, _, _ in n], pa.string()), pa.array([v for _, v, _ in n], pa.list_(pa.int8())), pa.array([t and t[0] for _, _, t in n], pa.string()),
+            pa.array([t and t[1] for _, _, t in n], pa.string()), pa.array(list(n.values()), pa.int64()),
+        ],
+        names=["defect", "v", "w1", "w2", "n"],
+    )
+
+
 def labelled(rows: DataFrame) -> tuple[DataFrame, list[tuple]]:
     """``(labels, cutoffs)``: :func:`label`, and of each defect ``(defect, cutoff, good, alarms,
-    made, caught)`` as validated: held-out rows that are known to be good and how many of them were
-    flagged, rows into which the defect was put and how many of those were."""
+    made, caught)`` as validated on all rows: those that are known to be good and how many of them
+    were flagged, those into which the defect was put and how many of those were."""
     spark = attach(rows.sparkSession)
     src = rows.where("id is not null").select(
         "id", "question", "prediction", "answers", F.transform("contexts", lambda c: c["text"]).alias("contexts")
     )
-    total = max(1, src.count())
-
-    def drawn(n: int, salt: int) -> DataFrame:
-        return src.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 40)) < int(min(1.0, n / total) * (1 << 40))).limit(2 * n)
-
-    held = spark.sparkContext.broadcast(Triples([r["question"] for r in drawn(LANGUAGE_SAMPLE, 1).select("question").distinct().collect() if r["question"]]))
-    sample = {r["id"]: tuple(r) for r in drawn(VALIDATION, 2).collect()}
-    good_votes, made_votes = damaged(list(sample.values()), held.value)
+    held = spark.sparkContext.broadcast(Triples.fitted(src.select("question").where("question is not null").distinct()))
+    buckets = -(-max(1, src.count()) // BUCKET)
+    tried = (
+        src.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(buckets))).groupBy("_b")
+        .applyInArrow(lambda part: _damaged(held, part), "defect string, v array<tinyint>, w1 string, w2 string, n long")
+        .groupBy("defect", "v", "w1", "w2").agg(F.sum("n").alias("n"))
+    )
+    tried = cut(tried)  # used twice
     feats = spread(src, "id").mapInArrow(lambda batches: _features(held, batches), "id string, v array<tinyint>, good boolean, w1 string, w2 string, h long")
     feats = cut(feats.dropDuplicates(["id"]))  # votes are dear and used twice
     texts = src.select("id", "prediction")
@@ -470,11 +521,8 @@ def labelled(rows: DataFrame) -> tuple[DataFrame, list[tuple]]:
     )
     # the unended rests that occur, each once: few rows, however many rows end so
     tails = feats.where("w2 is not null").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("n1"))
-    asked = sorted({t for _, t in [*good_votes, *made_votes["truncated"]] if t})  # those of the held-out rows, at most VALIDATION
-    extra = spark.createDataFrame(asked, "w1 string, w2 string").withColumn("asked", F.lit(True))
-    tails = tails.join(F.broadcast(extra), ["w1", "w2"], "left").unionByName(
-        extra.join(tails, ["w1", "w2"], "left_anti").select("w1", "w2", F.lit(0).alias("n"), F.lit(0).alias("n1"), "asked")
-    )
+    extra = tried.where("w2 is not null").select("w1", "w2").distinct()
+    tails = tails.unionByName(extra.join(tails, ["w1", "w2"], "left_anti").select("w1", "w2", F.lit(0).alias("n"), F.lit(0).alias("n1")))
     zero = F.lit(0)
     ends, goes, ends1, goes1, seen = (F.coalesce(c, zero) for c in ("ends", "goes", "ends1", "goes1", "seen"))
 
@@ -489,7 +537,7 @@ def labelled(rows: DataFrame) -> tuple[DataFrame, list[tuple]]:
     apart = goes_on(ends1, goes1, F.col("n1"))
     judged = (
         tails.join(stats, ["w1", "w2"], "left").join(words, "w2", "left").join(starts, ["w1", "w2"], "left").select(
-            "w1", "w2", "asked",
+            "w1", "w2",
             F.when((seen == 0) & F.col("starts"), 1)  # no word, but the start of one that goes on here
             .when(F.col("w2").isin("N", "#"), F.when(ends > 0, -1).otherwise(0))
             .when(apart == 1, 1)
@@ -497,10 +545,11 @@ def labelled(rows: DataFrame) -> tuple[DataFrame, list[tuple]]:
         )
     )
     judged = cut(judged)
-    told = {(r["w1"], r["w2"]): r["t"] for r in judged.where("asked").collect()}
-    full = cut(
-        feats.join(judged.drop("asked"), ["w1", "w2"], "left").select("id", "good", F.concat("v", F.array(F.coalesce("t", F.lit(0).cast("tinyint")))).alias("v"))
-    )
+
+    def told(df: DataFrame, *keep: str) -> DataFrame:
+        return df.join(judged, ["w1", "w2"], "left").select(*keep, F.concat("v", F.array(F.coalesce("t", F.lit(0).cast("tinyint")))).alias("v"))
+
+    full, tried = cut(told(feats, "id", "good")), cut(told(tried, "defect", "n"))
     out, cutoffs = full, []
     for name, (a, b) in SLICES.items():
         part = F.slice("v", a + 1, b - a)
@@ -512,12 +561,12 @@ def labelled(rows: DataFrame) -> tuple[DataFrame, list[tuple]]:
         counts, good = np.array([r["n"] for r in got], float), np.array([r["g"] for r in got], float)
         fitted = model(patterns, [r["n"] for r in got])
         post = posterior(patterns, *fitted)
-        whole = lambda vs: [tuple((*v, told.get(t) or 0)[a:b]) for v, t in vs]  # noqa: B023, E731
-        held_out, made = whole(good_votes), whole(made_votes[name])
-        made_post = posterior(made, *fitted) if made else np.zeros(0)
-        good_post = posterior(held_out, *fitted) if held_out else np.zeros(0)
-        c = validated(post, counts, good, made_post)
-        cutoffs.append((name, c, len(good_post), int((good_post >= c).sum()), len(made_post), int((made_post >= c).sum())))
+        sums = tried.where(F.col("defect").isin("", name)).groupBy("defect", part.alias("p")).agg(F.sum("n").alias("n")).collect()
+        known, made = ([(tuple(r["p"]), r["n"]) for r in sorted(sums) if r["defect"] == d] for d in ("", name))
+        known_n, made_n = (np.array([n for _, n in x], float) for x in (known, made))
+        known_post, made_post = (posterior([p for p, _ in x], *fitted) if x else np.zeros(0) for x in (known, made))
+        c = validated(post, counts, good, made_post, many=made_n)
+        cutoffs.append((name, c, int(known_n.sum()), int(known_n @ (known_post >= c)), int(made_n.sum()), int(made_n @ (made_post >= c))))
         kept = [(list(p), float(x)) for p, x in zip(patterns, post) if x >= c]
         table = spark.createDataFrame(kept, f"_p array<tinyint>, {name} double")
         out = out.join(F.broadcast(table), part == F.col("_p"), "left").drop("_p")
@@ -536,7 +585,7 @@ def label(rows: DataFrame) -> DataFrame:
     A null or empty prediction is ``empty``; null questions, answers or contexts leave the functions
     that need them without a vote; redelivered rows count once; rows without id are left out. Whole
     texts are read. Per defect only the counts of vote patterns, at most 3 to the power of its
-    functions, come to the driver, besides LANGUAGE_SAMPLE questions and VALIDATION rows.
+    functions, come to the driver, besides the counts of letter triples by language.
     """
     return labelled(rows)[0]
 

@@ -77,3 +77,19 @@ def test_label_model_recovers_noisy_functions():
 def test_cutoffs_bound_false_alarms():
     post, n, good = np.array([0.55, 0.97]), np.array([10.0, 10.0]), np.array([1000.0, 0.0])
     assert D.validated(post, n, good) >= 0.6
+
+
+def test_all_rows_fit_the_languages_and_validate_the_cutoffs(spark):
+    """More rows than were once drawn: each is a known answer and gets a defect put into it."""
+    n = 4_600
+    rows = [(f"r{k:05d}", WHERE, f"It is located in Dovik{k}.", [f"Dovik{k}"], [], "clash") for k in range(n)]
+    got = {r.defect: r for r in D.cutoffs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["empty"].made == n and got["copies_question"].made == n and got["refusal"].made == n
+
+
+def test_triples_fitted_in_tasks_are_those_of_all_questions(spark):
+    questions = [f"Where is the old tower of {w}{k} and who was the owner of it?" for k in range(30) for w in ("Dov", "Fot")] + [f"Wo ist der alte Turm von {k} und wer war das?" for k in range(25)]
+    df = spark.createDataFrame([(q,) for q in questions], "question string").repartition(3)
+    mine, whole = D.Triples.fitted(df), D.Triples(questions)
+    assert mine.logs == whole.logs and set(mine.logs) == {"en", "de"}
+    assert all(np.allclose(mine.usual[k], whole.usual[k]) for k in whole.usual)
