@@ -79,6 +79,23 @@ def test_rows_of_one_document_go_together(spark):
     assert words == {1: (["a", "a", "b", "b"], 2), 2: (["a", "c"], 2), 3: (["d"], 1)}
 
 
+@pytest.mark.parametrize("held", [1 << 20, 2])
+def test_only_texts_of_repeated_ids_are_shuffled(spark, monkeypatch, held):
+    """One repeated id made every text be shuffled as words, at each use of the table."""
+    monkeypatch.setattr(lexical, "MAX_REPEATED", held, raising=False)  # 2: more are repeated than are held, all rows are grouped
+    docs = corpus(80, 9)
+    again = [docs[i] for i in (3, 3, 10, 41)] + [(5, None), (6, " "), (80, None)]
+    words = lexical.worded(spark.createDataFrame([*docs, *again], "doc_id long, text string").repartition(4).localCheckpoint())
+    assert "Aggregate" not in words._jdf.queryExecution().optimizedPlan().toString()
+    assert "Exchange hashpartitioning" not in words._jdf.queryExecution().executedPlan().toString()
+    got, want = words.collect(), {}
+    for i, t in docs + again:
+        row = (t or "").split()
+        have = want.get(i, ([], 0))
+        want[i] = (have[0] + row, max(have[1], len(row)))
+    assert len(got) == len(want) and {r.doc_id: (sorted(r.t), r.len) for r in got} == {i: (sorted(t), n) for i, (t, n) in want.items()}
+
+
 @pytest.mark.parametrize("own", [True, False])
 def test_sparse_search_is_the_join(spark, own, monkeypatch):
     df = spark.createDataFrame(corpus(300, 3), "doc_id long, text string").repartition(5)
